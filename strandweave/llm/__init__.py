@@ -1,4 +1,7 @@
-"""Operators for large training-data collections."""
+"""Operators for large training-data collections, and their registered queries."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import set_overlap, term_counts, top_terms
+
+MODULES = [term_counts, set_overlap, top_terms]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
