@@ -19,7 +19,7 @@ def strip(c: Column | str) -> Column:
 
 def clean_name(c: Column | str) -> Column:
     """A reference's name without surrounding blanks and leading ``>`` (null stays null)."""
-    return F.regexp_replace(col(c), r"^[>\s]+|\s+$", "")
+    return F.ltrim(F.rtrim(col(c), F.lit(BLANKS)), F.lit(BLANKS + ">"))
 
 
 def revcomp(c: Column | str) -> Column:

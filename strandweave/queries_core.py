@@ -27,8 +27,8 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(kmer_counts(spark, sf_dir).select("code", "hits"))
-    total = counts.agg(F.sum("hits").alias("total"))
-    return counts.join(F.broadcast(total), F.col("hits") * 100 >= F.col("total")).select(decode("code", K).alias("kmer"))
+    total = counts.agg(F.sum("hits")).first()[0] or 0
+    return counts.where(F.col("hits") * 100 >= total).select(decode("code", K).alias("kmer"))
 
 
 def aligned_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
