@@ -1,7 +1,7 @@
 """Operators for large training-data collections, and their registered queries."""
 
-from . import packing, set_overlap, term_counts, top_terms
+from . import contamination, packing, set_overlap, term_counts, top_terms
 
-MODULES = [term_counts, set_overlap, top_terms, packing]
+MODULES = [term_counts, set_overlap, top_terms, packing, contamination]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
