@@ -1,0 +1,68 @@
+"""Reads simulated from a genome, with pseudo-random choices by integer arithmetic: the same on every engine and partition."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.bases import is_acgt, revcomp
+
+
+def draw(i: Column, salt: int, most: Column | int) -> Column:
+    """A pseudo-random number from 0 to ``most`` - 1 for row ``i``: two rounds of a linear congruence."""
+    m = F.lit(2147483647)
+    x = (i * 48271 + F.lit(salt * 69621 + 12345)) % m
+    x = (x * 16807 + F.lit(salt + 7)) % m
+    return (x * 48271 + 11) % m % (most if isinstance(most, Column) else F.lit(most))
+
+
+def read_number(total: Column, depth: float, length: int) -> Column:
+    """Reads for a depth of coverage, rounded up to an even number."""
+    n = F.floor(F.lit(depth) * total / length)
+    return n + n % 2
+
+
+def mutated(seq: Column, i: Column, per_mille: int) -> Column:
+    """About ``per_mille`` of 1000 bases replaced by another one."""
+    base = F.lit("ACGT")
+
+    def one(b: Column, p: Column) -> Column:
+        spot = i * 1009 + p
+        other = (F.instr(base, b) - 1 + 1 + draw(spot, 5, 3)) % 4 + 1
+        return F.when(draw(spot, 3, 1000) < per_mille, F.substring(base, other.cast("int"), F.lit(1))).otherwise(b)
+
+    letters = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda p: F.substring(seq, p, F.lit(1)))
+    return F.when(F.length(seq) > 0, F.array_join(F.transform(letters, lambda b, p: one(b, p)), "")).otherwise(seq)
+
+
+def simulated_reads(genomes: DataFrame, *, depth: float, length: int, error_per_mille: int = 10) -> DataFrame:
+    """``genome_id, i, off, rev, seq``: reads of ``length`` bases at random offsets on random strands, with substitutions; windows
+    with other letters than ACGT are rejected. ``genomes`` is ``genome_id, seq``; shorter ones have no reads."""
+    sized = genomes.where(F.length("seq") >= length).withColumn("n", read_number(F.length("seq"), depth, length)).where("n > 0")
+    rows = sized.select("genome_id", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    key = F.col("genome_id") * 1_000_003 + F.col("i")
+    spots = rows.select("genome_id", "i", key.alias("key"), draw(key, 1, F.length("seq") - (length - 1)).alias("off"), "seq")
+    cut = spots.withColumn("seq", F.substring("seq", (F.col("off") + 1).cast("int"), F.lit(length))).where(is_acgt("seq"))
+    rev = draw(F.col("key"), 2, 2) == 1
+    noisy = cut.select("genome_id", "i", "off", rev.alias("rev"), mutated(F.col("seq"), F.col("key"), error_per_mille).alias("seq"))
+    return noisy.withColumn("seq", F.when(F.col("rev"), revcomp("seq")).otherwise(F.col("seq")))
+
+
+def simulated_pairs(genomes: DataFrame, *, depth: float, length: int, insert: int, error_per_mille: int = 10) -> DataFrame:
+    """``genome_id, i, mate, off, seq``: two reads a pair, ``insert`` bases from end to end, the second of them turned and written as
+    mate 1."""
+    sized = genomes.where(F.length("seq") >= insert).withColumn("n", read_number(F.length("seq"), depth, length) / 2).where("n >= 1")
+    rows = sized.select("genome_id", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("i"))
+    key = F.col("genome_id") * 1_000_003 + F.col("i")
+    spots = rows.select("genome_id", "i", key.alias("key"), draw(key, 1, F.length("seq") - (insert - 1)).alias("off"), "seq")
+    mates = spots.withColumn("mate", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("at", F.when(F.col("mate") == 1, F.col("off") + (insert - length)).otherwise(F.col("off")))
+    cut = mates.withColumn("seq", F.substring("seq", (F.col("at") + 1).cast("int"), F.lit(length)))
+    cut = cut.withColumn("seq", F.when(is_acgt("seq"), mutated(F.col("seq"), F.col("key") * 2 + F.col("mate"), error_per_mille)))
+    whole = cut.select("genome_id", "i", "mate", F.col("at").alias("off"), F.when(F.col("mate") == 1, revcomp("seq")).otherwise(F.col("seq")).alias("seq"))
+    good = whole.groupBy("genome_id", "i").agg(F.count("seq").alias("c")).where("c = 2").select("genome_id", "i")
+    return whole.join(good, ["genome_id", "i"], "left_semi")
+
+
+def sampled(rows: DataFrame, key: str, k: int, *, seed: int = 0) -> DataFrame:
+    """``k`` distinct rows at random: the first in the order of a seeded hash (a top-k, no full sort)."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)

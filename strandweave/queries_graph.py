@@ -156,7 +156,7 @@ LATEST = "lr AS (SELECT * FROM short_reads QUALIFY row_number() OVER (PARTITION
 
 def cleaned(trim: int) -> str:
     return f"""{LATEST},
-seg AS (SELECT *, list_reduce(list_prepend('', string_split(substr(seq, 1, greatest(length(seq) - {trim}, 0)), 'N')), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) AS c FROM lr),
+seg AS (SELECT *, CASE WHEN seq IS NOT NULL THEN list_reduce(list_prepend('', string_split(substr(seq, 1, greatest(length(seq) - {trim}, 0)), 'N')), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) END AS c FROM lr),
 cr AS (SELECT read_id, run_id, pair_id, mate, CASE WHEN regexp_full_match(c, '[ACGT]*') THEN c ELSE '' END AS seq, coalesce(regexp_full_match(c, '[ACGT]*'), false) AS active FROM seg)"""
 
 
@@ -183,12 +183,12 @@ fill AS (SELECT DISTINCT kmer FROM sp WHERE NOT hit AND hits > greatest(len - {2
 NODES = f"""{FILL},
 vx AS (SELECT kmer FROM solid UNION ALL SELECT kmer FROM fill),
 fd AS (SELECT kmer, least(count(*), 65535) AS cnt, bit_or(prevs) AS in_mask, bit_or(nexts) AS out_mask FROM lw WHERE kmer IN (SELECT kmer FROM vx) GROUP BY kmer),
-nodes AS (SELECT kmer, coalesce(cnt, 0) AS cnt, coalesce(in_mask, 0) AS in_mask, coalesce(out_mask, 0) AS out_mask FROM vx LEFT JOIN fd USING (kmer))"""
+nodes AS MATERIALIZED (SELECT kmer, coalesce(cnt, 0) AS cnt, coalesce(in_mask, 0) AS in_mask, coalesce(out_mask, 0) AS out_mask FROM vx LEFT JOIN fd USING (kmer))"""
 EDGES = f"""bb AS (SELECT unnest(range(0, 4))::INT AS x),
 oe AS (SELECT kmer AS u, substr(kmer, 2) || substr('ACGT', x + 1, 1) AS v FROM nodes, bb WHERE (out_mask >> x) & 1 = 1
        UNION SELECT {rc('kmer')}, substr({rc('kmer')}, 2) || substr('ACGT', x + 1, 1) FROM nodes, bb WHERE (in_mask >> x) & 1 = 1),
-ke AS (SELECT u, v FROM oe WHERE {canon('v')} IN (SELECT kmer FROM nodes)),
-edges AS (SELECT u, v FROM ke UNION SELECT {rc('v')}, {rc('u')} FROM ke)"""
+ke AS MATERIALIZED (SELECT u, v FROM oe WHERE {canon('v')} IN (SELECT kmer FROM nodes)),
+edges AS MATERIALIZED (SELECT u, v FROM ke UNION SELECT {rc('v')}, {rc('u')} FROM ke)"""
 
 
 def unitig_sql(nodes: str, edges: str, p: str = "") -> str:
@@ -254,9 +254,12 @@ FROM (SELECT DISTINCT contig_id, seq, len, sum_cov FROM contigs)""",
     "unitigs_trimmed": f"{GRAPH},\n{trimmed_sql()} SELECT seq, len, sum_cov, is_tangle FROM z_contigs",
     "unitigs_thick": f"{GRAPH},\n{unitig_sql('nodes', 'edges', 'a_')},\n{without_sql('r_', 'nodes', 'edges', f'SELECT seq FROM a_contigs WHERE sum_cov < 4.0 * (len - {K - 1})')},\n{unitig_sql('r_nodes', 'r_edges', 'z_')} SELECT seq, len, sum_cov, is_tangle FROM z_contigs",
     "bubbles": f"""{GRAPH},\n{unitig_sql('nodes', 'edges', 'a_')},
-bs AS (SELECT seq, sum_cov AS cov FROM a_contigs WHERE len = {2 * K - 1} UNION ALL SELECT {rc('seq')}, sum_cov FROM a_contigs WHERE len = {2 * K - 1}),
-pa AS (SELECT seq, cov, e1.u AS b, e2.v AS e FROM bs JOIN edges e1 ON e1.v = left(seq, {K}) JOIN edges e2 ON e2.u = right(seq, {K})),
-ok AS (SELECT * FROM pa WHERE b <> e AND (SELECT count(*) FROM edges x WHERE x.u = b) = 2 AND (SELECT count(*) FROM edges x WHERE x.v = b) = 1 AND (SELECT count(*) FROM edges x WHERE x.u = e) = 1 AND (SELECT count(*) FROM edges x WHERE x.v = e) = 2)
+bs AS MATERIALIZED (SELECT seq, sum_cov AS cov FROM a_contigs WHERE len = {2 * K - 1} UNION ALL SELECT {rc('seq')}, sum_cov FROM a_contigs WHERE len = {2 * K - 1}),
+fl AS MATERIALIZED (SELECT seq, cov, left(seq, {K}) AS f, right(seq, {K}) AS l FROM bs),
+p1 AS MATERIALIZED (SELECT seq, cov, u AS b, l FROM fl JOIN edges ON v = f),
+pa AS MATERIALIZED (SELECT seq, cov, b, v AS e FROM p1 JOIN edges ON u = l),
+dg AS MATERIALIZED (SELECT u, count(*) AS outs FROM edges GROUP BY u), dn AS MATERIALIZED (SELECT v, count(*) AS ins FROM edges GROUP BY v),
+ok AS MATERIALIZED (SELECT seq, cov, b, e FROM pa WHERE b <> e AND b IN (SELECT u FROM dg WHERE outs = 2) AND b IN (SELECT v FROM dn WHERE ins = 1) AND e IN (SELECT u FROM dg WHERE outs = 1) AND e IN (SELECT v FROM dn WHERE ins = 2))
 SELECT DISTINCT least(p.seq, {rc('p.seq')}) AS seq, least(q.seq, {rc('q.seq')}) AS rival FROM ok p JOIN ok q ON p.b = q.b AND p.e = q.e AND p.seq <> q.seq
 WHERE q.cov < p.cov OR (q.cov = p.cov AND least(q.seq, {rc('q.seq')}) < least(p.seq, {rc('p.seq')}))""",
     "reference_dice": r"""
