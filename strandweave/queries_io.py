@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.bases import clean_name
 from .operators import simulate
 from .plans.session import shared_dir, table
 from .queries_analysis import hits
@@ -71,6 +72,37 @@ def interval_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_interval_alignments(spark, path)
 
 
+def merge_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws(", ", "n_nationkey", "n_regionkey", F.col("n_nationkey") + 100, F.format_number(F.col("n_nationkey") / 4, 2)).alias("value"))
+    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("value"))
+    names.unionByName(rows).write.text(path := folder(spark))
+    return text.read_merge_log(spark, path)
+
+
+def hit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments as lines of 17 fields under header lines."""
+    f = lambda c: F.col(c).cast("string")
+    rows = hits(spark, sf_dir).where("contig IS NOT NULL AND ref <> ''")
+    line = F.concat_ws("\t", F.abs(F.col("contig_to") - F.col("contig_from")).cast("string"), *[F.lit("0")] * 7, F.when(F.col("ref_from") > F.col("ref_to"), "-").otherwise("+"), "contig", F.lit("99"), f("contig_from"), f("contig_to"), "ref", f("ref_len"), f("ref_from"), f("ref_to"))
+    head = spark.range(5).select(F.concat(F.lit("header line "), F.col("id").cast("string")).alias("value"))
+    head.unionByName(rows.select(line.alias("value"))).write.text(path := folder(spark))
+    return text.read_hits(spark, path)
+
+
+def cluster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in a folder of FASTA files for each run, read again with their run."""
+    rows = latest_reads(spark, sf_dir).where("seq IS NOT NULL").select("run_id", F.concat(F.col("run_id").cast("string"), F.lit(":"), "name").alias("name"), "seq")
+    text.write_clusters(rows, path := folder(spark), "run_id")
+    found = text.read_fasta(spark, path + "/*")
+    return found.groupBy(F.split("name", ":")[0].cast("bigint").alias("run_id")).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"))
+
+
+def read_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads needed for a depth of 30 over each reference."""
+    refs = table(spark, sf_dir, "delta_alignments").select(clean_name("ref").alias("ref"), "ref_len").where("ref IS NOT NULL").groupBy("ref").agg(F.max("ref_len").alias("ref_len"))
+    return refs.select("ref", simulate.read_number(F.col("ref_len"), 30.0, 75).alias("reads"))
+
+
 def simulated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes = table(spark, sf_dir, "contigs").select(F.col("contig_id").alias("genome_id"), "seq").distinct()
     return simulate.simulated_reads(genomes, depth=2.0, length=50)
@@ -91,7 +123,7 @@ def streamed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.totals(spark.read.schema("kmer string, cnt bigint").parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (fasta_round_trip, fasta_count, fastq_round_trip, fastq_to_fasta, contig_round_trip, delta_round_trip, placement_round_trip, taxa_round_trip, interval_round_trip, simulated_reads, simulated_pairs, streamed_kmers)}
+QUERIES = {f.__name__: f for f in (fasta_round_trip, fasta_count, fastq_round_trip, fastq_to_fasta, contig_round_trip, delta_round_trip, placement_round_trip, taxa_round_trip, interval_round_trip, merge_log_round_trip, hit_round_trip, cluster_files, read_numbers, simulated_reads, simulated_pairs, streamed_kmers)}
 
 BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 H = f"""h AS (SELECT * REPLACE (ltrim(rtrim(ref, {BLANK}), {BLANK} || '>') AS ref) FROM delta_alignments WHERE ref IS NOT NULL AND ref_from BETWEEN 1 AND ref_len AND ref_to BETWEEN 1 AND ref_len QUALIFY row_number() OVER (PARTITION BY aln_id ORDER BY loaded_at DESC NULLS LAST) = 1)"""
@@ -112,6 +144,10 @@ ORACLE = {
     "placement_round_trip": f"WITH {H} SELECT aln_id AS id, least(ref_from, ref_to) AS offset, contig_len AS length FROM h WHERE contig_len IS NOT NULL",
     "taxa_round_trip": "SELECT c_custkey AS id, c_nationkey AS parent_id, c_mktsegment AS rank FROM customer",
     "interval_round_trip": f"WITH {H} SELECT contig AS query, ref, ref_from AS \"from\", ref_to AS \"to\" FROM h WHERE contig IS NOT NULL AND ref <> ''",
+    "merge_log_round_trip": "SELECT CAST(n_nationkey AS BIGINT) AS c1, CAST(n_regionkey AS BIGINT) AS c2, CAST(n_nationkey + 100 AS BIGINT) AS \"new\", round(n_nationkey / 4, 2) AS dist FROM nation",
+    "hit_round_trip": f"WITH {H} SELECT abs(contig_to - contig_from) AS match, CASE WHEN ref_from > ref_to THEN '-' ELSE '+' END AS strand, contig AS read, contig_from AS r_from, contig_to AS r_to, ref AS contig, ref_len AS c_len, ref_from AS c_from, ref_to AS c_to FROM h WHERE contig IS NOT NULL AND ref <> '' AND contig_from IS NOT NULL AND contig_to IS NOT NULL",
+    "cluster_files": f"WITH {LATEST} SELECT run_id, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM lr WHERE seq IS NOT NULL AND name IS NOT NULL GROUP BY run_id",
+    "read_numbers": f"SELECT ref, n + n % 2 AS reads FROM (SELECT ltrim(rtrim(ref, {BLANK}), {BLANK} || '>') AS ref, CAST(floor(30.0 * max(ref_len) / 75) AS BIGINT) AS n FROM delta_alignments WHERE ref IS NOT NULL GROUP BY 1)",
     "simulated_pairs": f"""WITH g AS (SELECT DISTINCT contig_id AS genome_id, seq FROM contigs WHERE length(seq) >= 120), n AS (SELECT *, unnest(range(0, ({NUMBER} + {NUMBER} % 2) // 2)) AS i FROM g),
 s AS (SELECT genome_id, i, seq, {draw_sql('genome_id * 1000003 + i', 1, 'length(seq) - 119')} AS off FROM n),
 m AS (SELECT genome_id, i, 1 AS mate, off + 70 AS off, {rc('substr(seq, off + 71, 50)')} AS seq, off AS o, seq AS whole FROM s UNION ALL SELECT genome_id, i, 2, off, substr(seq, off + 1, 50), off, seq FROM s)
