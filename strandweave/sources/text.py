@@ -97,7 +97,7 @@ def read_taxa(spark: SparkSession, path: str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """``path, taxon_id, is_plasmid`` of annotation files: taken from the first line that is no comment."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.regexp_extract("value", r"(?m)^([^#\n][^\n]*)", 1).alias("line"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_extract("value", r"(?m)^([^#\n][^\n]*)", 1).alias("line"))
     return whole.select("path", F.expr("try_cast(nullif(regexp_extract(line, 'taxon:([0-9]+)', 1), '') AS bigint)").alias("taxon_id"), F.contains(F.lower("line"), F.lit("plasmid")).alias("is_plasmid"))
 
 
