@@ -25,6 +25,8 @@ def sketches(members: DataFrame, owner: str, member: str, *, k: int) -> DataFram
 def compared(one: np.ndarray, other: np.ndarray, k: int) -> tuple[int, int, float]:
     """Of the ``k`` smallest hashes of the union: how many there are, how many both sets have, and the union's size."""
     both = np.concatenate((one, other))
+    if not len(both):
+        return 0, 0, 0.0
     both.sort(kind="stable")
     again = np.r_[both[1:] == both[:-1], False]
     first = np.r_[True, ~again[:-1]]

@@ -34,7 +34,7 @@ class Settings:
     labels: int = 20_000
     part: float = 0.0015
     pure: float = 0.72
-    lead: float = 2.5
+    lead: float = 4.0
     terms: int = 2
     posterior: float = 0.5
 
@@ -86,10 +86,15 @@ def rated_terms(docs: DataFrame, labels: DataFrame, id_col: str, text: str, name
 
 
 def first_lexicon(rated: DataFrame, seeds: dict[str, list[str]], names: list[str]) -> dict[str, str]:
-    """Terms most of whose rated documents have one subject, and the subjects' sample words. Its size is bounded by the
-    sample of labels."""
-    order = F.struct("n", "subject")
-    best = rated.groupBy("term").agg(F.max(order).alias("best"), F.sum("n").alias("all")).where("best.n >= 3 AND best.n > 0.5 * all")
+    """Terms that stand out in the rated documents of one subject: its part among them lies at least 45 % of the way from the
+    subject's part of all mentions to 1. With them the subjects' sample words. Its size is bounded by the sample of
+    labels."""
+    rated = cut(rated)
+    mentions = {r.subject: r.n for r in rated.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
+    total = sum(mentions.values()) or 1
+    bar = F.create_map(*[F.lit(x) for s in names for x in (s, 0.45 + 0.55 * mentions.get(s, 0) / total)])
+    best = rated.groupBy("term").agg(F.max(F.struct("n", "subject")).alias("best"), F.sum("n").alias("all"))
+    best = best.where((F.col("best.n") >= 3) & (F.col("best.n") >= F.element_at(bar, F.col("best.subject")) * F.col("all")))
     lexicon = {r.term: r.best.subject for r in best.collect()}
     for name in names:
         lexicon.update((w, name) for w in seeds[name])
