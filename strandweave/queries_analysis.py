@@ -10,6 +10,7 @@ from .functions.vectors import is_numeric_vector, is_vector, rank_vector
 from .operators import cluster, evaluate, taxonomy
 from .operators.reads import latest
 from .plans.session import cut, table
+from .queries_graph import typed
 
 
 def one_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,3 +245,5 @@ l AS (SELECT id, avg(v) AS c FROM f GROUP BY id), n AS (SELECT parent_id AS id,
 a AS (SELECT * FROM l UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r UNION ALL SELECT * FROM o), k AS (SELECT ancestor AS id, count(*) AS refs FROM f JOIN cl USING (id) GROUP BY ancestor)
 SELECT id, refs, round(c, 4) AS centre FROM a JOIN k USING (id)""",
 }
+ORACLE["coverage_report"] = typed(ORACLE["coverage_report"], BIGINT="n50 n80 longest")
+ORACLE["similar_report"] = typed(ORACLE["similar_report"], BIGINT="n50")

@@ -12,7 +12,7 @@ from .functions.bases import revcomp
 from .operators import align, contig_graph, evaluate, graph, scaffold
 from .plans.session import cut, table
 from .queries_graph import K as GRAPH_K
-from .queries_graph import active_reads, canon, rc, read_graph
+from .queries_graph import active_reads, canon, rc, read_graph, typed
 
 K, READ = 21, 40
 
@@ -183,3 +183,5 @@ p3 AS (SELECT *, lag(e) OVER (PARTITION BY read_id ORDER BY pos) AS p FROM p2)
 SELECT CAST(pos AS INT) AS pos, count(*) AS bases, count(*) FILTER (WHERE e) AS errors, count(*) FILTER (WHERE e AND p) AS repeated FROM p3 GROUP BY pos""",
     "contig_depth": f"{ALIGN}, b AS (SELECT contig_id, sum(len) AS b FROM al GROUP BY contig_id) SELECT CAST(floor(coalesce(b, 0) / length(seq)) AS BIGINT) AS depth, count(*) AS contigs FROM hv LEFT JOIN b USING (contig_id) WHERE length(seq) > 0 GROUP BY 1",
 }
+ORACLE["align_reads"] = typed(ORACLE["align_reads"], INTEGER="read_len read_off contig_off contig_len")
+ORACLE["scaffold_gapped"] = typed(ORACLE["scaffold_gapped"], INTEGER="len")

@@ -160,6 +160,12 @@ seg AS (SELECT *, CASE WHEN seq IS NOT NULL THEN list_reduce(list_prepend('', st
 cr AS (SELECT read_id, run_id, pair_id, mate, CASE WHEN regexp_full_match(c, '[ACGT]*') THEN c ELSE '' END AS seq, coalesce(regexp_full_match(c, '[ACGT]*'), false) AS active FROM seg)"""
 
 
+def typed(sql: str, **kinds: str) -> str:
+    """The query with the named columns (separated by blanks) cast to a type."""
+    casts = ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for kind, names in kinds.items() for c in names.split())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def rc(x: str) -> str:
     return f"translate(reverse({x}), 'ACGT', 'TGCA')"
 
@@ -269,3 +275,4 @@ n AS (SELECT ref, count(*) AS n FROM m GROUP BY ref),
 p AS (SELECT a.ref AS ref1, b.ref AS ref2, count(*) AS shared FROM m a JOIN m b ON a.k = b.k AND a.ref < b.ref GROUP BY a.ref, b.ref)
 SELECT ref1, ref2, shared, round(200 * shared / (a.n + b.n), 6) AS dice FROM p JOIN n a ON a.ref = ref1 JOIN n b ON b.ref = ref2""",
 }
+ORACLE |= {name: typed(ORACLE[name], INTEGER="len") for name in ("unitigs", "unitigs_trimmed", "unitigs_thick")}

@@ -12,7 +12,7 @@ from .functions.bases import clean_name
 from .operators import simulate
 from .plans.session import shared_dir, table
 from .queries_analysis import hits
-from .queries_graph import LATEST, canon, cleaned, latest_reads, rc
+from .queries_graph import LATEST, canon, latest_reads, rc, typed
 from .sources import fastq, text
 from .streaming import kmers as stream
 
@@ -155,3 +155,6 @@ SELECT genome_id, i, mate, off, seq FROM m WHERE regexp_full_match(substr(whole,
     "streamed_kmers": f"""WITH {LATEST}, w AS (SELECT substr(seq, p, 25) AS w FROM (SELECT seq, unnest(range(1, length(seq) - 23)) AS p FROM lr WHERE length(seq) >= 25))
 SELECT {canon('w')} AS kmer, count(*) AS cnt FROM w WHERE regexp_full_match(w, '[ACGT]*') GROUP BY 1""",
 }
+NUMBERS = {"delta_round_trip": "ref_len contig_len ref_from ref_to contig_from contig_to errors", "placement_round_trip": "offset length", "taxa_round_trip": "parent_id", "interval_round_trip": "from to", "hit_round_trip": "match r_from r_to c_len c_from c_to"}
+ORACLE |= {name: typed(ORACLE[name], BIGINT=columns) for name, columns in NUMBERS.items()}
+ORACLE["contig_round_trip"] = typed(ORACLE["contig_round_trip"], INTEGER="len")
