@@ -73,7 +73,7 @@ ITEMS = [(1, f"{INSTRUCTION} {ITEM}"), (2, f"{INSTRUCTION} {OTHER}"), (3, ""), (
 def leaks(spark, texts):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    return [tuple(r[:2]) for r in sorted(contamination.leaked(docs.drop("item_id"), "doc_id", "text", items, "item_id", "text").collect())]
+    return [tuple(r[:2]) for r in sorted(contamination.leaked(docs, "doc_id", "text", items, "item_id", "text").collect())]
 
 
 def test_leaks_in_many_layouts(spark):
@@ -148,7 +148,7 @@ def corpus(n=400, seed=6):
 
 def test_subjects_with_held_out_accuracy(spark):
     docs, truth, labels = corpus()
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string, repo string")
+    frame = spark.createDataFrame([(*d, 1, "x", 2) for d in docs], "doc_id bigint, text string, repo string, id int, subject string, both int")
     about = spark.createDataFrame([("food", "cooking", "oven, flour"), ("music", "playing", "violin, chord")], "subject string, about string, sample_words string")
     rated = spark.createDataFrame(labels, "doc_id bigint, subject string")
     found = {(r.doc_id, r.subject) for r in subjects.subject_posteriors(frame, rated, about).where("posterior >= 0.5").collect()}
