@@ -221,14 +221,19 @@ def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[byt
 def searched(batch: pa.RecordBatch, index: Index, chunk: int = 1 << 20) -> Iterator[tuple]:
     """``(row, item, carried words, words, stretches)`` of every pair that the rule accepts, for a batch of texts."""
     rule, text = index.rule, batch.column(1)
+    lap = 4 * max([sum(map(len, w)) + len(w) for w in index.words], default=0)
     row = 0
     while row < len(text):
-        parts, size = [], 0
+        parts, size, base = [], 0, row
         while row < len(text) and (size < chunk or not parts):
             parts.append(plain(text[row].as_py()) if text[row].is_valid else b"")
             size += len(parts[-1]) + 1
             row += 1
-        yield from chunk_pairs(parts, row - len(parts), index, rule)
+        if size > 8 * chunk:  # a huge text, last in its chunk: windows of it, each with room for any item across their ends
+            huge = parts.pop()
+            for at in range(0, len(huge), 2 * chunk):
+                yield from chunk_pairs([huge[at : at + 2 * chunk + lap]], row - 1, index, rule)
+        yield from chunk_pairs(parts, base, index, rule)
 
 
 def dense(pair: np.ndarray, diagonal: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:

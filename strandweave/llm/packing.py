@@ -92,7 +92,7 @@ def packed(items: DataFrame, specs: DataFrame, *, tiers: int = 4, bucket: int =
 
     Hierarchical multi-length packing. An item goes to the shortest of ``tiers`` windows capacity, capacity/2, ... that
     holds it; one beyond the capacity, and only that, is split into full containers and a remainder, which is routed by its
-    size. Items are spread by a hash of their id over buckets of about ``bucket`` items, so no task holds more, whatever
+    size. Items are spread by a hash of their id and place in the table (copies of one id part too) over buckets of about ``bucket`` items, so no task holds more, whatever
     the table's size, and each bucket is packed as ``pack_bucket`` says. Steps are ``step`` containers of one bucket,
     dealt out from the fullest to the emptiest and back, so that the steps of a bucket weigh about the same.
 
@@ -105,7 +105,7 @@ def packed(items: DataFrame, specs: DataFrame, *, tiers: int = 4, bucket: int =
     sizes = items.where("id IS NOT NULL AND tokens IS NOT NULL")
     wanted = sizes.join(specs, F.col("only").isNull() | (F.col("only") == F.col("lang")))
     buckets = F.broadcast(wanted.groupBy("spec").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("buckets")))
-    wanted = wanted.join(buckets, "spec").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int"))
+    wanted = wanted.join(buckets, "spec").withColumn("bucket", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("buckets")).cast("int"))
     whole = (F.greatest(F.col("tokens") - 1, F.lit(0)) / F.col("capacity")).cast("int")
     pieces = wanted.withColumn("piece", F.explode(F.sequence(F.lit(0), whole))).withColumn("size", F.least(F.col("tokens") - F.col("piece") * F.col("capacity"), "capacity"))
     tier = F.least(F.lit(tiers - 1), F.floor(F.log2(F.col("capacity") / F.greatest("size", F.lit(1))) + 1e-9).cast("int"))

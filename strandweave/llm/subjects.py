@@ -29,7 +29,7 @@ AUTOMATIC = re.compile(r"(?:Merge (?:branch|pull request|remote|tag|commit)\b|Bu
 class Settings:
     """``labels`` rows of rated documents at most fit the first lexicon (the bound of that sample); a term of the final
     one has at least ``part`` of all documents, ``pure`` of its documents about one subject, and ``lead`` times as many as
-    about any other subject; a subject needs ``terms`` distinct terms and a posterior of ``posterior``."""
+    about any other subject; a subject needs ``terms`` distinct terms and a posterior of ``posterior``; more than ``subjects`` subjects are refused."""
 
     labels: int = 20_000
     part: float = 0.0015
@@ -37,6 +37,7 @@ class Settings:
     lead: float = 4.0
     terms: int = 2
     posterior: float = 0.5
+    subjects: int = 1000
 
 
 def folded(text: str) -> str:
@@ -235,7 +236,10 @@ def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame,
     lower-cased and trimmed, and other names in ``labels`` are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
-    known = {r.subject.strip().lower(): [w for w in term_set(folded(r.sample_words or ""))] for r in subjects.where("subject IS NOT NULL").limit(1000).collect()}
+    listed = subjects.where("subject IS NOT NULL").select("subject", "sample_words").limit(settings.subjects + 1).collect()
+    if len(listed) > settings.subjects:
+        raise ValueError(f"more than {settings.subjects} subjects")
+    known = {r.subject.strip().lower(): sorted(term_set(folded(r.sample_words or ""))) for r in listed}
     names = sorted(known)
     first = first_lexicon(rated_terms(docs, labels, id_col, text, names, settings), known, names)
     lexicon, _ = final_lexicon(corpus_terms(docs, text, first, settings), first, settings)

@@ -164,3 +164,15 @@ def test_sections_and_automatic_messages():
     assert "uberzogene Grosse" in message and "HG" not in message
     assert changed.split() == ["-old", "+new"] and "oven.c" in paths and "context" not in changed
     assert subjects.is_automatic("\n\n  Merge branch 'x'") and subjects.is_automatic("Subject: [PATCH] Bump a from 1 to 2") and not subjects.is_automatic("Merged thoughts")
+
+
+def test_huge_texts_are_searched_in_windows():
+    import pyarrow as pa
+
+    texts = [t for _, t in ITEMS if t]
+    index = contamination.Index([(i, t) for i, t in ITEMS if t], contamination.Rule(), contamination.shared_sentences(texts), contamination.frequent_words(texts, 0.05))
+    docs = ["x" * n + " " + ITEM + " tail" * 500 for n in (5, 900, 1990, 2100, 3333)] + [OTHER]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "text"])
+    for chunk in (64, 1000, 1 << 20):
+        found = {(row, item) for row, item, *_ in contamination.searched(batch, index, chunk=chunk)}
+        assert found == {(i, 1) for i in range(5)} | {(5, 2)}
