@@ -31,7 +31,7 @@ def length_stats(rows: DataFrame, length: str, *, by: list[str] | None = None, l
 
     n = F.sum("c")
     of = F.max("bound") if total is not None else F.sum(F.col("len") * F.col("c"))
-    return run.groupBy(*by).agg(n.alias("n"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), reached(5).alias("n50"), reached(8).alias("n80"), F.max("len").alias("max_len"), F.floor(of / n).alias("mean_len")) if by else run.agg(n.alias("n"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), reached(5).alias("n50"), reached(8).alias("n80"), F.max("len").alias("max_len"), F.floor(of / n).alias("mean_len"))
+    return run.groupBy(*by).agg(n.alias("n"), F.sum(F.col("len") * F.col("c")).alias("sum_len"), reached(5).alias("n50"), reached(8).alias("n80"), F.max("len").alias("max_len"), F.floor(of / n).alias("mean_len"))
 
 
 def reference_report(hits: DataFrame, *, min_contig: int = 100) -> DataFrame:
