@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
+from .cluster import frequency_vectors
+
+#: The ranks that groups of references are kept for.
+RANKS = ("species", "genus", "family", "order", "class", "phylum")
 
 
 def closure(nodes: DataFrame, *, most: int = 64) -> DataFrame:
@@ -57,3 +61,12 @@ def rolled_up(nodes: DataFrame, refs: DataFrame) -> DataFrame:
         level = cut(up.unionByName(leaves.where(F.col("depth") == d).select("id", "centre")))
         done = done.unionByName(level)
     return counts.join(done, "id")
+
+
+def reference_tables(nodes: DataFrame, sequences: DataFrame, ranks: tuple[str, ...] = RANKS) -> tuple[DataFrame, DataFrame]:
+    """The reference database: ``ref, vals`` (frequency vectors) and ``rank, taxon_id, ref``, the references at or below each taxon of
+    a listed rank. ``sequences`` is ``ref, taxon_id, seq``; references of unknown taxa are in the first table only."""
+    vectors = frequency_vectors(sequences, "ref")
+    above = closure(nodes).join(nodes.select(F.col("id").alias("ancestor"), "rank"), "ancestor").where(F.col("rank").isin(*ranks))
+    groups = sequences.select("ref", F.col("taxon_id").alias("id")).join(above, "id").select("rank", F.col("ancestor").alias("taxon_id"), "ref").distinct()
+    return vectors, groups

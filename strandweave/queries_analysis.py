@@ -172,7 +172,13 @@ def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.rolled_up(tree(spark, sf_dir), refs).select("id", "refs", F.round(F.col("centre")[0], 4).alias("centre"))
 
 
-QUERIES = {f.__name__: f for f in (contig_n50, contig_n50_reference, coverage_report, contigs_unaligned, similar_report, similar_wrong, placement_concordance, vector_ranks, contig_vectors, vector_nearest, cluster_spread, cluster_centroids, vectors_normalized, cluster_confusion, cluster_matched, cluster_classified, group_distances, centre_merges, centre_dendrogram, vector_kmeans, taxonomy_closure, taxonomy_compressed, taxonomy_rollup)}
+def taxonomy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs as references of customers' taxa: which lie at or below each nation and region."""
+    seqs = one_contigs(spark, sf_dir).select(F.col("contig_id").alias("ref"), F.concat(F.lit("c"), F.col("contig_id") % 100).alias("taxon_id"), "seq")
+    return taxonomy.reference_tables(tree(spark, sf_dir), seqs, ("region", "nation"))[1]
+
+
+QUERIES = {f.__name__: f for f in (contig_n50, contig_n50_reference, coverage_report, contigs_unaligned, similar_report, similar_wrong, placement_concordance, vector_ranks, contig_vectors, vector_nearest, cluster_spread, cluster_centroids, vectors_normalized, cluster_confusion, cluster_matched, cluster_classified, group_distances, centre_merges, centre_dendrogram, vector_kmeans, taxonomy_closure, taxonomy_compressed, taxonomy_rollup, taxonomy_references)}
 
 BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 HITS = f"""h0 AS (SELECT * REPLACE (ltrim(rtrim(ref, {BLANK}), {BLANK} || '>') AS ref) FROM delta_alignments QUALIFY row_number() OVER (PARTITION BY aln_id ORDER BY loaded_at DESC NULLS LAST) = 1),
@@ -240,6 +246,7 @@ y AS (SELECT a.centre AS g1, b.centre AS g2, CAST(list_sum(list_transform(list_z
 SELECT g1, g2, count(*) AS n, min(d) AS min, max(d) AS max, round(avg(d), 6) AS mean, list_sort(list(d))[count(*) // 2 + 1] AS median FROM y GROUP BY g1, g2""",
     "taxonomy_closure": f"WITH RECURSIVE {TREE} SELECT id, ancestor, CAST(depth AS INT) AS depth FROM cl",
     "taxonomy_compressed": f"WITH RECURSIVE {TREE} SELECT id, arg_min(ancestor, depth) AS parent_id FROM (SELECT cl.id, ancestor, depth FROM cl JOIN tree ON tree.id = cl.ancestor WHERE (depth > 0 AND rank = 'region') OR rank = 'root') GROUP BY id",
+    "taxonomy_references": f"WITH RECURSIVE {TREE} SELECT DISTINCT t.rank, cl.ancestor AS taxon_id, c.contig_id AS ref FROM contigs c JOIN cl ON cl.id = 'c' || (c.contig_id % 100) JOIN tree t ON t.id = cl.ancestor WHERE t.rank IN ('region', 'nation')",
     "taxonomy_rollup": f"""WITH RECURSIVE {TREE}, f AS (SELECT 'c' || c_custkey AS id, c_acctbal AS v FROM customer UNION ALL SELECT 's' || s_suppkey, s_acctbal FROM supplier),
 l AS (SELECT id, avg(v) AS c FROM f GROUP BY id), n AS (SELECT parent_id AS id, avg(c) AS c FROM l JOIN tree USING (id) GROUP BY parent_id), r AS (SELECT parent_id AS id, avg(c) AS c FROM n JOIN tree USING (id) GROUP BY parent_id), o AS (SELECT parent_id AS id, avg(c) AS c FROM r JOIN tree USING (id) GROUP BY parent_id),
 a AS (SELECT * FROM l UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r UNION ALL SELECT * FROM o), k AS (SELECT ancestor AS id, count(*) AS refs FROM f JOIN cl USING (id) GROUP BY ancestor)

@@ -114,11 +114,11 @@ def simulated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the k-mers of all reads, fed to a stream file by file."""
+    """Counts of the k-mers of all reads, resent ones once, fed to a stream file by file."""
     source = folder(spark)
-    latest_reads(spark, sf_dir).select("read_id", "seq").write.parquet(source)
-    reads = spark.readStream.schema("read_id bigint, seq string").option("maxFilesPerTrigger", 4).parquet(source)
-    query = stream.counted_batches(reads, 25, path := folder(spark), folder(spark))
+    table(spark, sf_dir, "short_reads").select("read_id", "seq", "loaded_at").write.parquet(source)
+    reads = spark.readStream.schema("read_id bigint, seq string, loaded_at timestamp").option("maxFilesPerTrigger", 4).parquet(source)
+    query = stream.counted_batches(stream.once(reads, "3650 days"), 25, path := folder(spark), folder(spark))
     query.awaitTermination()
     return stream.totals(spark.read.schema("kmer string, cnt bigint").parquet(path))
 

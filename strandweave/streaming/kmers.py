@@ -9,11 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.bases import canonical, is_acgt
 
 
-def kmer_stream(reads: DataFrame, k: int, *, late: str | None = None, ts: str = "loaded_at", read_id: str = "read_id") -> DataFrame:
-    """Streaming ``kmer, cnt``. With ``late``, reads that are resent within that delay (by ``ts``) count once; the state of
-    older ids is dropped."""
-    if late:
-        reads = reads.withWatermark(ts, late).dropDuplicatesWithinWatermark([read_id])
+def once(reads: DataFrame, late: str, *, ts: str = "loaded_at", read_id: str = "read_id") -> DataFrame:
+    """A stream of reads in which those that are resent within ``late`` of each other (by ``ts``) come once. The state holds the
+    ids of that span only."""
+    return reads.withWatermark(ts, late).dropDuplicatesWithinWatermark([read_id])
+
+
+def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+    """``kmer, cnt`` of the windows of ACGT letters of a table, or of a stream in update or complete mode."""
     spots = reads.where(F.length("seq") >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substring("seq", i, F.lit(k)))).alias("w"))
     return spots.where(is_acgt("w")).groupBy(canonical("w").alias("kmer")).agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -23,7 +26,7 @@ def counted_batches(reads: DataFrame, k: int, path: str, checkpoint: str) -> Str
     overwrites itself; the total is ``totals``. No state grows with the number of k-mers."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        kmer_stream(batch, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kmer_counts(batch, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -59,3 +59,14 @@ def test_rank_vectors_break_ties_by_dimension(spark):
     assert [r[0] for r in df.select(rank_vector("v")).collect()] == [[2, 1, 3, 0], None]
     two = spark.createDataFrame([([0, 1, 2], [2, 1, 0])], "a array<int>, b array<int>")
     assert two.select(rank_distance("a", "b")).first()[0] == 4
+
+
+def test_paths(spark):
+    from strandweave.functions import paths as P
+    from strandweave.operators.scaffold import uncontained
+
+    df = spark.createDataFrame([([2, 4, 7], [4, 7], [30, 21, 40], ["AACG", "CGT", "GTTT"])], "p array<bigint>, q array<bigint>, n array<int>, s array<string>")
+    r = df.select(P.turned("p"), P.appended("p", F.lit(9).cast("bigint")), P.popped("q"), P.suffix("p", 1), P.is_simple("p"), P.is_simple(F.array_append("p", F.lit(5).cast("bigint"))), P.contains("p", "q"), P.contains("q", "p"), P.merged("s", 3), P.internal_size("n", 11)).first()
+    assert list(r) == [[6, 5, 3], [2, 4, 7, 9], [4], [4, 7], True, False, True, False, "AACGTTT", 13]
+    some = spark.createDataFrame([(2, [2, 4]), (2, [2, 4, 6]), (2, [2, 4]), (8, [2, 4])], "u bigint, path array<bigint>")
+    assert rows(uncontained(some)) == [(2, [2, 4, 6]), (8, [2, 4])]

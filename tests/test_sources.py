@@ -42,7 +42,7 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     reads = spark.readStream.schema("read_id bigint, seq string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     stream.counted_batches(reads, 5, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = stream.totals(spark.read.parquet(str(tmp_path / "out")))
-    assert rows(got.select("kmer", "cnt")) == rows(stream.kmer_stream(spark.createDataFrame(data, "read_id bigint, seq string"), 5))
+    assert rows(got.select("kmer", "cnt")) == rows(stream.kmer_counts(spark.createDataFrame(data, "read_id bigint, seq string"), 5))
 
 
 def test_dendrogram_and_merges(spark):
@@ -51,3 +51,13 @@ def test_dendrogram_and_merges(spark):
     assert log == [(0, 1, 3, 2.0), (2, 3, 4, 4.0)]
     assert cluster.dendrogram(["a", "b", "c"], log) == ["4.00-------------c", "4.00---2.00---a", "4.00---2.00---b"]
     assert cluster.dimensions()[-1][0] < 256 and len(cluster.dimensions()) == 136
+
+
+def test_stream_drops_resent_reads(spark, tmp_path):
+    data = [(i % 30, "ACGTACGTTAGC", f"2024-01-{1 + i // 30:02d} 00:00:00") for i in range(60)]
+    df = spark.createDataFrame(data, "read_id bigint, seq string, t string").selectExpr("read_id", "seq", "CAST(t AS timestamp) AS loaded_at")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    reads = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.counted_batches(stream.once(reads, "30 days"), 5, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = stream.totals(spark.read.parquet(str(tmp_path / "out")))
+    assert rows(got.select("kmer", "cnt")) == rows(stream.kmer_counts(df.limit(30), 5))
