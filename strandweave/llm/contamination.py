@@ -1,4 +1,4 @@
-"""Passages of evaluation texts inside documents: q-gram counts in diagonal bands, then banded alignment."""
+"""Passages of evaluation texts inside documents: q-gram counts, pairs of words in diagonal bands, then banded alignment."""
 
 from __future__ import annotations
 
@@ -29,6 +29,8 @@ LETTER[128:] = 37 + np.arange(128) % 26
 Q = 8
 BLOOM_BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words by which a band of alignment reaches beyond its diagonal on either side.
+WIDTH = 24
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ class Index:
         self.own: list[np.ndarray] = []
         self.proof: list[np.ndarray] = []
         self.total = np.zeros(len(items), np.int64)
-        self.single = np.zeros(len(items), np.int64)
+        self.vocabulary: dict[bytes, int] = {}
         for k, (_, text) in enumerate(items):
             words = words_of(plain(text))
             own = np.concatenate([np.full(len(w), b"".join(w) not in common) for w in sentences(text)] or [np.zeros(0, bool)])
@@ -95,13 +97,9 @@ class Index:
             self.words.append(words)
             self.own.append(own)
             self.proof.append(np.array([w not in frequent for w in words], bool))
-            lengths = np.array([len(w) for w in words] or [0])
-            mean = lengths.mean()
-            for bound, n in ((self.total, max(rule.stretch, int(np.ceil(len(words) * rule.share)))), (self.single, rule.stretch)):
-                n = min(n, len(words))
-                least = int(np.convolve(lengths, np.ones(n, int), "valid").min()) if n else 0
-                # the q-gram lemma: an edited word destroys at most the grams that touch it
-                bound[k] = max(4, least + 1 - Q - int(n * rule.edits / 2) * (Q - 1 + mean))
+            self.total[k] = least_grams([len(w) for w in words], rule)
+            for w in words:
+                self.vocabulary.setdefault(w, len(self.vocabulary))
         codes_, owner_, at_ = np.concatenate(codes or [np.empty(0, np.uint64)]), np.concatenate(owner or [[]]).astype(np.int64), np.concatenate(at or [[]]).astype(np.int64)
         order = np.argsort(codes_, kind="stable")
         self.codes, first = np.unique(codes_[order], return_index=True)
@@ -109,6 +107,18 @@ class Index:
         self.owner, self.at = owner_[order], at_[order]
         self.bloom = np.zeros(1 << BLOOM_BITS, bool)
         self.bloom[(self.codes * MIX) >> np.uint64(64 - BLOOM_BITS)] = True
+        ids = [self.numbers(w) for w in self.words]
+        codes_, owner_, at_ = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in ([self.word_pairs(w) for w in ids], [np.full(max(0, len(w) - 1), k) for k, w in enumerate(ids)], [np.arange(len(w) - 1) for w in ids]))
+        order = np.argsort(codes_, kind="stable")
+        self.pair_codes, first = np.unique(codes_[order], return_index=True)
+        self.pair_starts = np.r_[first, len(codes_)]
+        self.pair_owner, self.pair_at = owner_[order], at_[order]
+        distinct = [np.unique(w[p & o]) for w, p, o in zip(ids, self.proof, self.own)]
+        word, self.proof_owner = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (distinct, [np.full(len(w), k) for k, w in enumerate(distinct)]))
+        order = np.argsort(word, kind="stable")
+        self.proof_owner = self.proof_owner[order]
+        self.proof_starts = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+
 
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions in ``g`` with the items and item positions that have the same gram."""
@@ -123,6 +133,76 @@ class Index:
         slot = np.repeat(self.starts[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         return np.repeat(near, n), self.owner[slot], self.at[slot]
 
+    def proven(self, words: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """``text * items + item``, sorted, where the text (a number for each word) has distinctive words enough of the item."""
+        some = words >= 0
+        one = np.unique(text[some] * len(self.vocabulary) + words[some])
+        text, word = np.divmod(one, max(1, len(self.vocabulary)))
+        n = self.proof_starts[word + 1] - self.proof_starts[word]
+        slot = np.repeat(self.proof_starts[word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        pairs, n = np.unique(np.repeat(text, n) * len(self.ids) + self.proof_owner[slot], return_counts=True)
+        return pairs[n >= self.rule.proofs]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Words as numbers; -1 for those that are in no item."""
+        get = self.vocabulary.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+    def word_pairs(self, words: np.ndarray) -> np.ndarray:
+        """The codes of all two words in a row; -1 where one of them is in no item."""
+        return np.where((words[:-1] >= 0) & (words[1:] >= 0), words[:-1] * len(self.vocabulary) + words[1:], -1)
+
+    def word_hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in ``words`` with the items and item positions that have the same two words in a row."""
+        codes = self.word_pairs(words)
+        near = np.flatnonzero(codes >= 0)
+        if not len(near) or not len(self.pair_codes):
+            none = np.empty(0, np.int64)
+            return none, none, none
+        found = np.minimum(np.searchsorted(self.pair_codes, codes[near]), len(self.pair_codes) - 1)
+        same = self.pair_codes[found] == codes[near]
+        near, found = near[same], found[same]
+        n = self.pair_starts[found + 1] - self.pair_starts[found]
+        slot = np.repeat(self.pair_starts[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.repeat(near, n), self.pair_owner[slot], self.pair_at[slot]
+
+
+#: Items of more words have no bound by grams: their documents are found by words alone.
+BOUNDED_WORDS = 400
+
+
+def least_grams(lengths: list[int], rule: Rule) -> int:
+    """The fewest grams that a text shares with an item of words of these ``lengths`` if it carries the item: the q-gram lemma for
+    what ``stretches`` accepts. A stretch of s words with e of them edited has s - e matched words and at most half of what
+    these exceed ``rule.stretch`` / 2 by as breaks; it keeps at least its letters but those of its e longest words, and Q - 1
+    grams fewer for each run between breaks. The item's share is put together from the stretches that keep the fewest."""
+    size = len(lengths)
+    if not size or size > BOUNDED_WORDS:
+        return 0
+    need = int(np.ceil(size * rule.share))
+    keeps = np.full((size + 1, size + 1), np.inf)  # [first word, words]
+    for s in range(max(1, rule.stretch - 2), size + 1):
+        # sums of the 0, 1, ... longest words of each window
+        longest = np.sort(np.lib.stride_tricks.sliding_window_view(np.array(lengths), s), axis=1)[:, ::-1]
+        lost = np.concatenate([np.zeros((len(longest), 1), int), np.cumsum(longest, axis=1)], axis=1)
+        e = np.arange(int(s * rule.edits) + 1)
+        breaks = np.floor((s - e - rule.stretch / 2) / 2).astype(int)
+        e, breaks = (x[(s - e >= rule.stretch - 2) & (breaks >= e)] for x in (e, breaks))
+        if len(e):
+            keeps[: size - s + 1, s] = np.maximum(0, lost[:, -1:] - lost[:, e] - (breaks + 1) * (Q - 1)).min(1)
+    least = np.full((size + 1, need + 1), np.inf)  # [words seen, words carried at least]
+    least[:, 0] = 0
+    for i in range(1, size + 1):
+        s = np.arange(1, i + 1)
+        before = least[(i - s)[:, None], np.maximum(0, np.arange(need + 1) - s[:, None])]
+        least[i] = np.minimum(least[i - 1], (before + keeps[i - s, s][:, None]).min(0))
+    return int(least[size, need]) if np.isfinite(least[size, need]) else 1 << 40
+
+
+def least_pairs(rule: Rule) -> int:
+    """The fewest two words in a row that a stretch has in common with its item."""
+    return min(m - 1 - int(max(0, m - rule.stretch / 2) // 2) for m in range(max(1, rule.stretch - 2), rule.stretch + 2))
+
 
 def sentences(text: str) -> list[list[bytes]]:
     """The words of each sentence; a sentence ends at . ? ! ; and blanks."""
@@ -157,16 +237,17 @@ def aligned(item: list[bytes], doc: list[bytes], offset: int, width: int) -> lis
     for i in range(len(a)):
         best = np.maximum(low[i, 1:-1] + equal[i], low[i, 2:])  # match or replace; item word left out
         np.maximum.accumulate(best, out=low[i + 1, 1:-1])  # doc words left out
-    pairs, i, d = [], len(a), span - 1
+    pairs, i = [], len(a)
     d = int(np.argmax(low[len(a), 1:-1]))
+    score, same = low.tolist(), equal.tolist()
     while i > 0:
-        here = low[i, d + 1]
-        if d > 0 and low[i, d] == here:
+        here = score[i][d + 1]
+        if d > 0 and score[i][d] == here:
             d -= 1
-        elif equal[i - 1, d] and low[i - 1, d + 1] + 1 == here:
+        elif same[i - 1][d] and score[i - 1][d + 1] + 1 == here:
             i -= 1
             pairs.append((i, i + offset - width + d))
-        elif low[i - 1, d + 1] == here:
+        elif score[i - 1][d + 1] == here:
             i -= 1
         else:
             i, d = i - 1, d + 1
@@ -198,7 +279,7 @@ def stretches(pairs: list[tuple[int, int]], rule: Rule) -> list[tuple[int, int]]
 def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[bytes], offsets: list[int], rule: Rule) -> tuple[int, int]:
     """Item words that running text of ``doc`` carries, and the stretches. Shared instructions count only beside a stretch
     of the item's own words."""
-    got, n, width = np.zeros(len(item), bool), 0, 24
+    got, n, width = np.zeros(len(item), bool), 0, WIDTH
     needed = {item[i]: i for i in np.flatnonzero(proof & own).tolist()}
     runs = np.array([j - needed[w] for j, w in enumerate(doc) if w in needed], int)  # of the distinctive words
     for offset in offsets:
@@ -236,21 +317,28 @@ def searched(batch: pa.RecordBatch, index: Index, chunk: int = 1 << 20) -> Itera
         yield from chunk_pairs(parts, base, index, rule)
 
 
-def dense(pair: np.ndarray, diagonal: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which hits lie in a region that reaches the bound: hits are counted in cells of half a band by half a window of
-    the item, and a region is two by two of them, so regions overlap in both directions."""
-    key = (pair << 33) + (diagonal << 12) + at
-    cells, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-
-    def shifted(by: int) -> np.ndarray:
-        where = np.minimum(np.searchsorted(cells, cells + by), len(cells) - 1)
-        return np.where(cells[where] == cells + by, n[where], 0)
-
-    if not len(cells):
-        return np.zeros(0, bool)
-    around = {(x, y): shifted((x << 12) + y) for x in (-1, 0, 1) for y in (-1, 0, 1)}
-    best = np.max([around[0, 0] + around[x, 0] + around[0, y] + around[x, y] for x in (-1, 1) for y in (-1, 1)], axis=0)
-    return best[inverse] >= least
+def offsets_of(i: np.ndarray, j: np.ndarray, own: np.ndarray, rule: Rule, width: int = WIDTH) -> list[int]:
+    """By how many words a text runs ahead of an item where they have two words in a row at ``i`` and ``j``: diagonals at most 16
+    apart from each other, but for those with too few such places in the band about them for any stretch; none if no band
+    has enough within the item's own words, or all have too few for the item's share."""
+    least, d = least_pairs(rule), j - i
+    order = np.argsort(d, kind="stable")
+    d, i = d[order], i[order]
+    mine = own[i] & own[i + 1]
+    out, used, any_own = [], np.zeros(len(own), bool), False
+    last = None
+    for o in np.unique(d).tolist():
+        if last is not None and o - last <= 16:
+            continue
+        last = o
+        low, high = np.searchsorted(d, [o - width, o + width + 1])
+        if high - low < least or len(np.unique(i[low:high])) < least:
+            continue
+        out.append(o)
+        used[i[low:high]] = True
+        any_own |= len(np.unique(i[low:high][mine[low:high]])) >= least
+    # stretches of different bands may overlap, each place lies in two of them at most
+    return out if any_own and used.sum() >= len(own) * rule.share * (1 - rule.edits) / 4 else []
 
 
 def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iterator[tuple]:
@@ -259,36 +347,39 @@ def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iter
     place = np.flatnonzero(letters)
     ends = np.searchsorted(place, np.cumsum([len(p) + 1 for p in parts]))  # letters up to each text's end
     g = grams(letters[place])
-    pos, item, at = index.hits(g)
-    if not len(pos):
-        return
+    pos, item, _ = index.hits(g)
     doc = np.searchsorted(ends, pos, side="right")
     whole = pos + Q <= ends[np.minimum(doc, len(ends) - 1)]  # no gram spans two texts
-    pos, item, at, doc = pos[whole], item[whole], at[whole], doc[whole]
-    pair = doc * len(index.ids) + item
-    pairs, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-    few = n[inverse] < index.total[item]
-    pos, at, pair, half = pos[~few], at[~few], pair[~few], rule.band // 2
-    kept = dense(pair, (pos - at) // half + (1 << 20), at // half, index.single[pair % len(index.ids)])
-    pos, at, pair = pos[kept], at[kept], pair[kept]
-    _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-    kept = n[inverse] >= index.total[pair % len(index.ids)]
-    pos, at, pair = pos[kept], at[kept], pair[kept]
-    for p in np.unique(pair):
-        d, k = divmod(int(p), len(index.ids))
-        words, mine = words_of(parts[d]), index.words[k]
-        begin = int(ends[d - 1]) if d else 0
-        met = pair == p
-        # by how many words the text runs ahead of the item where they share grams
-        i = np.searchsorted(np.cumsum([len(w) for w in mine]), at[met], side="right")
-        j = np.searchsorted(np.cumsum([len(w) for w in words]), pos[met] - begin, side="right")
-        offsets: list[int] = []
-        for o in np.unique(j - i).tolist():
-            if not offsets or o - offsets[-1] > 16:
-                offsets.append(o)
-        got, n = carried(mine, index.own[k], index.proof[k], words, offsets, rule)
-        if n and got >= len(mine) * rule.share:
-            yield base + d, int(index.ids[k]), got, len(mine), n
+    pairs, n = np.unique(doc[whole] * len(index.ids) + item[whole], return_counts=True)
+    pairs = pairs[n >= index.total[pairs % len(index.ids)]]
+    free = index.total <= 0  # no bound by grams: every text goes on
+    some = np.arange(len(parts)) if free.any() else np.unique(pairs // len(index.ids))
+    texts = {d: words_of(parts[d]) for d in some.tolist()}
+    numbers = [index.numbers([*texts[d], b""]) for d in texts]  # the empty word, in no item, ends each text
+    if not numbers:
+        return
+    starts, words = np.cumsum([0, *map(len, numbers)]), np.concatenate(numbers)
+    proven = index.proven(words, np.repeat(some, np.diff(starts)))
+    j, item, i = index.word_hits(words)
+    nth = np.searchsorted(starts, j, side="right") - 1
+    j, pair = j - starts[nth], some[nth] * len(index.ids) + item
+    likely = np.isin(pair, proven) & (free[item] | np.isin(pair, pairs))
+    pair, j, i = pair[likely], j[likely], i[likely]
+    # pairs with places enough for a stretch in one band, before each is looked at
+    least = least_pairs(rule)
+    order = np.argsort((pair << 32) + (j - i), kind="stable")
+    pair, j, i = pair[order], j[order], i[order]
+    key = (pair << 32) + (j - i)
+    many = np.unique(pair[: len(pair) - least + 1][key[least - 1 :] - key[: len(key) - least + 1] <= 2 * WIDTH]) if len(pair) >= least else pair[:0]
+    for p in many.tolist():
+        a, b = np.searchsorted(pair, [p, p + 1])
+        d, k = divmod(p, len(index.ids))
+        mine = index.words[k]
+        offsets = offsets_of(i[a:b], j[a:b], index.own[k], rule)
+        if offsets:
+            got, n = carried(mine, index.own[k], index.proof[k], texts[d], offsets, rule)
+            if n and got >= len(mine) * rule.share:
+                yield base + d, int(index.ids[k]), got, len(mine), n
 
 
 def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, *, rule: Rule = Rule(), block_chars: int = 4_000_000) -> DataFrame:
@@ -296,9 +387,10 @@ def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: s
     running text, in stretches of about ``rule.stretch`` words or more apart from single edited words.
 
     Each document is read once, where it lies, without a shuffle. Letters and digits alone count, in one case. A pair
-    of document and item goes on if the q-grams (8 letters) they share, and those in some pair of neighbouring diagonal half
-    bands, reach what the q-gram lemma leaves of the required words after the allowed edits; then the words are
-    aligned in a band about each such diagonal, and the matched words must form running text. Sentences that several
+    of document and item goes on if the q-grams (8 letters) they share reach what the q-gram lemma leaves of the required
+    words after the allowed edits (``least_grams``; where that is nothing, every document goes on), and if enough of the
+    item's two words in a row lie in some band of diagonals; then the words are aligned in a band about each such
+    diagonal, and the matched words must form running text. Sentences that several
     items share (instructions) are no passage on their own.
 
     Items are query texts: they are broadcast in blocks of ``block_chars`` characters, one pass over the documents each.

@@ -176,3 +176,39 @@ def test_huge_texts_are_searched_in_windows():
     for chunk in (64, 1000, 1 << 20):
         found = {(row, item) for row, item, *_ in contamination.searched(batch, index, chunk=chunk)}
         assert found == {(i, 1) for i in range(5)} | {(5, 2)}
+
+
+def found_in(items, docs):
+    import pyarrow as pa
+
+    texts = [t for _, t in items]
+    index = contamination.Index(items, contamination.Rule(), contamination.shared_sentences(texts), contamination.frequent_words(texts, 0.05))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "text"])
+    return {(row, item) for row, item, *_ in contamination.searched(batch, index)}
+
+
+def test_a_third_with_long_words_edited_is_found():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for short, edits in ((5, {2, 7, 12, 17}), (5, {3, 6, 9, 12, 15}), (2, {3, 6, 9, 12, 15})):
+        words = [word(12 if i % 20 in edits else short) for i in range(60)]
+        item = " ".join(words)
+        docs = [" ".join("new" if i % 20 in edits else words[i] for i in range(at, at + 20)) for at in (0, 20, 40)]
+        docs.append("x " * 400 + docs[0] + " y" * 400)
+        assert found_in([(1, item), (2, OTHER)], docs) == {(i, 1) for i in range(4)}
+
+
+def test_bound_by_grams_is_one():
+    rng = random.Random(9)
+    rule = contamination.Rule()
+    for _ in range(30):
+        words = [b"%0*d" % (rng.randrange(1, 12), rng.randrange(10)) + b"%d" % i for i in range(rng.randrange(12, 50))]
+        item = [bytes(w) for w in words]
+        doc = [b"other" if rng.random() < 0.2 else w for w in item]
+        pairs = contamination.aligned(item, doc, 0, 24)
+        kept = contamination.stretches(pairs, rule)
+        if sum(b - a + 1 for a, b in kept) < len(item) * rule.share:
+            continue
+        shared = set(contamination.grams(contamination.LETTER[list(b"".join(item))]).tolist()) & set(contamination.grams(contamination.LETTER[list(b"".join(doc))]).tolist())
+        assert len(shared) >= contamination.least_grams([len(w) for w in item], rule)
