@@ -36,8 +36,8 @@ WIDTH = 24
 @dataclass(frozen=True)
 class Rule:
     """When a document carries an item: the share of the item's words, the least words of a stretch, and the part of the
-    words that may be edited; a stretch needs ``proofs`` words that at most a part ``rare`` of all items has, since items
-    made from one template agree in the rest."""
+    words that may be edited; the stretches together need ``proofs`` different words that at most a part ``rare`` of all items
+    has (or as many as the item has), since items made from one template agree in the rest."""
 
     share: float = 1 / 3
     stretch: int = 10
@@ -114,6 +114,7 @@ class Index:
         self.pair_starts = np.r_[first, len(codes_)]
         self.pair_owner, self.pair_at = owner_[order], at_[order]
         distinct = [np.unique(w[p & o]) for w, p, o in zip(ids, self.proof, self.own)]
+        self.needed = np.array([min(rule.proofs, len(w)) for w in distinct], np.int64)
         word, self.proof_owner = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (distinct, [np.full(len(w), k) for k, w in enumerate(distinct)]))
         order = np.argsort(word, kind="stable")
         self.proof_owner = self.proof_owner[order]
@@ -141,7 +142,7 @@ class Index:
         n = self.proof_starts[word + 1] - self.proof_starts[word]
         slot = np.repeat(self.proof_starts[word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         pairs, n = np.unique(np.repeat(text, n) * len(self.ids) + self.proof_owner[slot], return_counts=True)
-        return pairs[n >= self.rule.proofs]
+        return pairs[n >= self.needed[pairs % len(self.ids)]]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Words as numbers; -1 for those that are in no item."""
@@ -226,19 +227,38 @@ def aligned(item: list[bytes], doc: list[bytes], offset: int, width: int) -> lis
     i + offset - width to i + offset + width."""
     if not item or not doc:
         return []
+    return matched(equal_words(*numbered(item, doc), offset, width), offset - width)
+
+
+def numbered(item: list[bytes], doc: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words as numbers, equal for equal words; -1 for those that the item doesn't have."""
     names = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    a = np.array([names[w] for w in item])
-    b = np.array([names.get(w, -1) for w in doc])
-    span = 2 * width + 1
-    low = np.full((len(a) + 1, span + 2), -(10**6), np.int32)  # low[i, d + 1]: most matches with i item words, doc word i + offset - width + d
+    return np.array([names[w] for w in item]), np.array([names.get(w, -1) for w in doc])
+
+
+def equal_words(a: np.ndarray, b: np.ndarray, offset: int, width: int) -> np.ndarray:
+    """Whether item word i is the doc word that it meets at diagonal d of the band."""
+    met = np.arange(len(a))[:, None] + (offset - width) + np.arange(2 * width + 1)
+    return (b[np.clip(met, 0, len(b) - 1)] == a[:, None]) & (met >= 0) & (met < len(b))
+
+
+def reachable(equal: np.ndarray, own: np.ndarray, rule: Rule) -> np.ndarray:
+    """Item words that a stretch in the band can hold at most: those in some part that reaches the score of ``stretches`` if each
+    word that is anywhere in the band is matched."""
+    score = np.r_[0, np.cumsum(np.where(equal.any(1) & own, 1, -2))]
+    return np.maximum.accumulate(score[::-1])[::-1][1:] - np.minimum.accumulate(score)[:-1] >= rule.stretch / 2
+
+
+def matched(equal: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """``aligned`` for the equal words of a band whose first diagonal is ``start``."""
+    size, span = equal.shape
+    low = np.full((size + 1, span + 2), -(10**6), np.int32)  # low[i, d + 1]: most matches with i item words, doc word i + start + d
     low[0, 1:-1] = 0
-    met = np.arange(len(a))[:, None] + (offset - width) + np.arange(span)  # doc word met by i at diagonal d
-    equal = (b[np.clip(met, 0, len(b) - 1)] == a[:, None]) & (met >= 0) & (met < len(b))
-    for i in range(len(a)):
+    for i in range(size):
         best = np.maximum(low[i, 1:-1] + equal[i], low[i, 2:])  # match or replace; item word left out
         np.maximum.accumulate(best, out=low[i + 1, 1:-1])  # doc words left out
-    pairs, i = [], len(a)
-    d = int(np.argmax(low[len(a), 1:-1]))
+    pairs, i = [], size
+    d = int(np.argmax(low[size, 1:-1]))
     score, same = low.tolist(), equal.tolist()
     while i > 0:
         here = score[i][d + 1]
@@ -246,7 +266,7 @@ def aligned(item: list[bytes], doc: list[bytes], offset: int, width: int) -> lis
             d -= 1
         elif same[i - 1][d] and score[i - 1][d + 1] + 1 == here:
             i -= 1
-            pairs.append((i, i + offset - width + d))
+            pairs.append((i, i + start + d))
         elif score[i - 1][d + 1] == here:
             i -= 1
         else:
@@ -279,21 +299,36 @@ def stretches(pairs: list[tuple[int, int]], rule: Rule) -> list[tuple[int, int]]
 def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[bytes], offsets: list[int], rule: Rule) -> tuple[int, int]:
     """Item words that running text of ``doc`` carries, and the stretches. Shared instructions count only beside a stretch
     of the item's own words."""
-    got, n, width = np.zeros(len(item), bool), 0, WIDTH
-    needed = {item[i]: i for i in np.flatnonzero(proof & own).tolist()}
-    runs = np.array([j - needed[w] for j, w in enumerate(doc) if w in needed], int)  # of the distinctive words
-    for offset in offsets:
-        if (np.abs(runs - offset) <= width).sum() < rule.proofs:
-            continue
-        pairs = aligned(item, doc, offset, width)
-        met = np.zeros(len(item), bool)
-        met[[i for i, _ in pairs]] = True
+    got, met, n = np.zeros(len(item), bool), np.zeros(len(item), bool), 0
+    places: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero(proof & own).tolist():
+        places.setdefault(item[i], []).append(i)
+    least = min(rule.proofs, len(places))
+    if least:  # distinctive words near any of the diagonals; without enough of them no stretch can bring them
+        spots = [(w, j - i) for j, w in enumerate(doc) if w in places for i in places[w]]
+        ahead = np.array([d for _, d in spots], int)
+        close = np.zeros(len(spots), bool)
+        for offset in offsets:
+            close |= np.abs(ahead - offset) <= WIDTH
+        if len({spots[k][0] for k in np.flatnonzero(close)}) < least:
+            return 0, 0
+    a, b = numbered(item, doc)
+    bands = [(equal_words(a, b, offset, WIDTH), offset - WIDTH) for offset in offsets]
+    reach = [(reachable(equal, own, rule), reachable(equal, ~own, rule)) for equal, _ in bands]
+    if np.any(reach, axis=(0, 1)).sum() < len(item) * rule.share:
+        return 0, 0
+    kept = [matched(*band) for band, r in zip(bands, reach) if np.any(r)]
+    for pairs in kept:
+        here = np.zeros(len(item), bool)
+        here[[i for i, _ in pairs]] = True
         for first, last in stretches([p for p in pairs if own[p[0]]], rule):
-            if (met & proof)[first : last + 1].sum() < rule.proofs:
-                continue
             n += not got[first : last + 1].any()
             got[first : last + 1] = True
-        if got.any():
+            met[first : last + 1] |= here[first : last + 1]
+    if len({item[i] for i in np.flatnonzero(met & proof & own)}) < least:
+        return 0, 0
+    if got.any():
+        for pairs in kept:
             for first, last in stretches([p for p in pairs if not own[p[0]]], rule):
                 got[first : last + 1] = True
     return int(got.sum()), n
@@ -363,7 +398,7 @@ def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iter
     j, item, i = index.word_hits(words)
     nth = np.searchsorted(starts, j, side="right") - 1
     j, pair = j - starts[nth], some[nth] * len(index.ids) + item
-    likely = np.isin(pair, proven) & (free[item] | np.isin(pair, pairs))
+    likely = (np.isin(pair, proven) | (index.needed[item] == 0)) & (free[item] | np.isin(pair, pairs))
     pair, j, i = pair[likely], j[likely], i[likely]
     # pairs with places enough for a stretch in one band, before each is looked at
     least = least_pairs(rule)

@@ -212,3 +212,21 @@ def test_bound_by_grams_is_one():
             continue
         shared = set(contamination.grams(contamination.LETTER[list(b"".join(item))]).tolist()) & set(contamination.grams(contamination.LETTER[list(b"".join(doc))]).tolist())
         assert len(shared) >= contamination.least_grams([len(w) for w in item], rule)
+
+
+def test_distinctive_words_count_for_the_item_not_each_stretch():
+    rng = random.Random(10)
+    common = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)]
+
+    def mixed(own):
+        words = rng.sample(common, 60)
+        for at, w in own.items():
+            words[at] = w
+        return words
+
+    once = mixed({4: "torvald", 15: "lantern", 34: "merrowick", 50: "harbour"})
+    twice = mixed({4: "silverwing", 6: "copperhead", 34: "silverwing", 36: "copperhead", 50: "silverwing", 55: "copperhead"})
+    items = [(1, " ".join(once)), (2, " ".join(twice)), *((k, " ".join(mixed({}))) for k in range(3, 12))]
+    docs = [" ".join(["start", *words[:10], *["between"] * 6, *words[30:40], "end"]) for words in (once, twice)]
+    docs.append(" ".join(once[:10]))
+    assert found_in(items, docs) == {(0, 1), (1, 2)}
