@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import canonical_code, is_acgt
 from ..functions.vectors import rank_vector
-from ..plans.session import cut
+from ..plans.session import cut, release
 
 
 def dimensions(k: int = 4) -> list[tuple[int, bool]]:
@@ -45,6 +45,17 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
+def nearest(points: np.ndarray, ids: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id of the nearest centre of each point, of equal ones the first, and the distance."""
+    r = points.astype(np.int16)
+    best, at = np.full(len(r), 1 << 30), np.zeros(len(r), np.int64)
+    for c, k in zip(ranks, ids):
+        d = np.abs(r - c).sum(1, dtype=np.int32)
+        at[d < best] = k
+        np.minimum(best, d, out=best)
+    return at, best
+
+
 def assigned(points: DataFrame, centres: list[tuple[int, list[int]]], *, dims: int = 136) -> DataFrame:
     """``id, ranks, centre, distance``: the nearest centre (``(id, ranks)``, a bounded list) of each point, of equal ones the first
     in the list. Without centres there are no rows."""
@@ -54,12 +65,7 @@ def assigned(points: DataFrame, centres: list[tuple[int, list[int]]], *, dims: i
         for batch in batches:
             if not len(ids):
                 continue
-            r = matrix(batch.column(1), dims).astype(np.int16)
-            best, at = np.full(len(r), 1 << 30), np.zeros(len(r), np.int64)
-            for c, k in zip(ranks, ids):
-                d = np.abs(r - c).sum(1, dtype=np.int32)
-                at[d < best] = k
-                np.minimum(best, d, out=best)
+            at, best = nearest(matrix(batch.column(1), dims), ids, ranks)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(best.astype(np.int32))], names=["id", "ranks", "centre", "distance"])
 
     return points.select("id", "ranks").mapInArrow(measure, "id bigint, ranks array<int>, centre bigint, distance int")
@@ -77,6 +83,25 @@ def centroids(members: DataFrame, vals: DataFrame) -> DataFrame:
     return means.withColumn("ranks", rank_vector("vals"))
 
 
+def moved_centres(points: DataFrame, centres: list[tuple[int, list[int]]], *, dims: int = 136) -> DataFrame:
+    """``centre, ranks``: the ranks of the mean values of the points (``id, vals, ranks``) nearest to each centre, by sums that
+    the tasks make."""
+
+    ids, ranks = np.array([c for c, _ in centres], np.int64), np.array([r for _, r in centres], np.int16).reshape(len(centres), dims)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(ids) or not len(batch):
+                continue
+            at, v = nearest(matrix(batch.column(0), dims), ids, ranks)[0], matrix(batch.column(1), dims)
+            some = np.unique(at)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([int((at == c).sum()) for c in some], pa.int64()), pa.array([v[at == c].sum(0).tolist() for c in some], pa.list_(pa.float64()))], names=["centre", "n", "sums"])
+
+    parts = points.select("ranks", "vals").mapInArrow(sums, "centre bigint, n bigint, sums array<double>").select("centre", "n", F.posexplode("sums").alias("dim", "v"))
+    means = parts.groupBy("centre", "dim").agg((F.sum("v") / F.sum("n")).alias("v")).groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vals"))
+    return means.select("centre", rank_vector("vals").alias("ranks"))
+
+
 def kmeans(points: DataFrame, k: int, *, seed: int = 0, rounds: int = 40, outliers: float = 2.0) -> tuple[DataFrame, float]:
     """Clusters of ``points`` (``id, vals, ranks``) by rank distance to the mean's ranks: ``id, centre, distance, outlier``, and the
     mean distance of the points that are no outliers. The first centres are ``k`` points in the order of a seeded hash.
@@ -87,8 +112,7 @@ def kmeans(points: DataFrame, k: int, *, seed: int = 0, rounds: int = 40, outlie
     inside, aside = points, None
     for phase in range(2):
         for _ in range(rounds):
-            members = cut(assigned(inside, centres))
-            moved = {r.centre: list(r.ranks) for r in centroids(members, inside).collect()}
+            moved = {r.centre: list(r.ranks) for r in moved_centres(inside, centres).collect()}
             new = [(i, moved.get(i, old)) for i, old in centres]
             still = new == centres
             centres = new
@@ -99,17 +123,23 @@ def kmeans(points: DataFrame, k: int, *, seed: int = 0, rounds: int = 40, outlie
             spread = cluster_spread(members)
             limit = F.broadcast(spread.select("centre", (F.col("mean") + outliers * F.coalesce("sd", F.lit(0.0))).alias("limit")))
             marked = cut(members.join(limit, "centre").select("id", (F.col("distance") > F.col("limit")).alias("outlier")))
+            release(members)
             aside = marked.where("outlier")
             inside = cut(points.join(marked.where("NOT outlier").select("id"), "id", "left_semi"))
     final = cut(assigned(points, centres).drop("ranks").join(aside, "id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False))))
+    release(marked, inside)
     mean = final.where("NOT outlier").agg(F.avg("distance")).first()[0]
     return final, float("inf") if mean is None else mean
 
 
 def best_kmeans(points: DataFrame, k: int, *, restarts: int = 10, rounds: int = 40) -> DataFrame:
     """The restart with the smallest mean distance, labels and outliers of one and the same run."""
-    runs = [kmeans(points, k, seed=s, rounds=rounds) for s in range(restarts)]
-    return min(runs, key=lambda r: r[1])[0]
+    best = kmeans(points, k, seed=0, rounds=rounds)
+    for s in range(1, restarts):
+        run = kmeans(points, k, seed=s, rounds=rounds)
+        best, lost = (run, best) if run[1] < best[1] else (best, run)
+        release(lost[0])
+    return best[0]
 
 
 def normalized(points: DataFrame) -> DataFrame:

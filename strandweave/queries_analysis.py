@@ -145,7 +145,7 @@ def centre_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cut(vectors(spark, sf_dir).select("id", "vals", "ranks"))
-    return cluster.best_kmeans(points, 8, restarts=2, rounds=3)
+    return cluster.best_kmeans(points, 8)
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
