@@ -5,14 +5,16 @@ Contigs are halved, and pairs of reads are cut from the whole contigs, so that p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.bases import revcomp
 from .operators import align, contig_graph, evaluate, graph, scaffold
-from .plans.session import cut, table
-from .queries_graph import K as GRAPH_K
-from .queries_graph import active_reads, canon, rc, read_graph, typed
+from .plans import assembly
+from .plans.session import cut, shared_dir, table
+from .queries_graph import active_reads, canon, latest_reads, rc, read_graph, typed
 
 K, READ = 21, 40
 
@@ -114,12 +116,18 @@ def contig_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contigs_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assembly of all reads over k = 25 and 26."""
-    start = cut(graph.unitigs(*read_graph(spark, sf_dir), GRAPH_K).select("seq", "sum_cov"))
-    return contig_graph.iterated(start, cut(active_reads(spark, sf_dir)), GRAPH_K, GRAPH_K + 1)
+    """Contigs of all reads over the default range of k, 25 to 50."""
+    start = cut(graph.unitigs(*read_graph(spark, sf_dir, assembly.Options().mink), assembly.Options().mink).select("seq", "sum_cov"))
+    return contig_graph.iterated(start, cut(active_reads(spark, sf_dir)), assembly.Options().mink, assembly.Options().maxk)
+
+
+def assembly_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole assembly of all reads with its default options: the k loop, scaffolds along paths and scaffolds with gaps."""
+    rows = latest_reads(spark, sf_dir).select("read_id", "seq", "pair_id", "mate")
+    return assembly.assemble(spark, rows, f"{shared_dir(spark)}/assembly-{uuid.uuid4().hex}", with_scaffolds=True, with_gaps=True)
 
 
-QUERIES = {f.__name__: f for f in (align_index, align_reads, insert_histogram, insert_estimate, scaffold_links, scaffold_close_links, scaffold_gapped, scaffold_paths, read_errors, contig_depth, contigs_iterated)}
+QUERIES = {f.__name__: f for f in (align_index, align_reads, insert_histogram, insert_estimate, scaffold_links, scaffold_close_links, scaffold_gapped, scaffold_paths, read_errors, contig_depth, contigs_iterated, assembly_gapped)}
 
 
 def win(name: str, src: str, key: str) -> str:
