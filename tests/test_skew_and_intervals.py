@@ -1,5 +1,6 @@
 """Skew-safe counts and interval coverage against brute force, with the awkward cases."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandweave.operators import intervals
 from strandweave.operators.intervals import coverage_segments
 from strandweave.operators.skew import heavy_keys, skew_safe_counts
 
@@ -78,3 +80,25 @@ def test_segments_of_empty_and_clashing_tables(spark):
     df = spark.createDataFrame([("r", 1, 100, 5, 6), ("r", 200, 101, 5, 6), ("r", 1, 100, 5, 6), ("r", 300, 400, 1, 1)], "e string, a int, b int, s int, kind int")
     assert rows(coverage_segments(df, "e", "a", "b", shard=16)) == [("r", "gap", 201, 299), ("r", "period", 1, 200), ("r", "period", 300, 400)]
     assert rows(coverage_segments(df.limit(0), "e", "a", "b")) == []
+
+
+def test_segments_over_several_levels(spark, monkeypatch):
+    """Shards of three levels, with intervals that cover whole shards of each."""
+    monkeypatch.setattr(intervals, "FAN", 4)
+    rng = random.Random(12)
+    data = []
+    for ref, long in (("a", 3), ("b", 400), ("c", 60)):
+        for _ in range(60):
+            a = rng.randrange(-1500, 1500)
+            data.append((ref, a, a + (rng.randrange(long) if rng.random() < 0.2 else rng.randrange(4))))
+    df = spark.createDataFrame(data, "ref string, start int, stop int")
+    for shard in (2, 8):
+        assert rows(coverage_segments(df, "ref", "start", "stop", shard=shard)) == segments(data)
+
+
+def test_a_long_interval_is_as_quick_as_a_short_one(spark):
+    far = 10**11
+    df = spark.createDataFrame([("r", 5, far), ("r", 70_000, 70_010), ("r", far + 3, far + 9), ("r", far // 2, far + 1)], "ref string, a bigint, b bigint")
+    assert rows(coverage_segments(df, "ref", "a", "b")) == [("r", "gap", far + 2, far + 2), ("r", "period", 5, far + 1), ("r", "period", far + 3, far + 9)]
+    lo, widths = spark.createDataFrame([("r", 5, far)], "e string, a bigint, b bigint"), [1 << 16, 1 << 26, 1 << 36, None]
+    assert intervals.clipped(lo, widths).count() <= 2 * len(widths)
