@@ -41,6 +41,31 @@ def test_packing_keeps_all_and_wastes_little(spark, seed):
     assert max(steps.values()) <= 16 * 512
 
 
+def test_tiers_are_packed_in_windows_of_their_own():
+    item = lambda i, n, t: (t, n, i, 0)
+    three = [item(i, 30, 1) for i in range(6)]  # two windows of 50 a container, unless there is but one tier
+    assert [len(h) for h in packing.pack_bucket([item(i, 30, 0) for i in range(6)], 100, 1)] == [3, 3]
+    small = [item(10 + i, 12, 3) for i in range(6)]
+    held = packing.pack_bucket(three + small, 100, 4)
+    assert sorted(sorted(i[1] for i in h) for h in held) == [[12, 12, 12, 30, 30]] * 2 + [[30, 30]]
+    assert sorted(i for h in held for i in h) == sorted(three + small)
+    # without short items the emptiest container fills the others' gaps
+    assert sorted(len(h) for h in packing.pack_bucket(three, 100, 4)) == [3, 3]
+
+
+def test_steps_are_balanced_over_buckets(spark):
+    rng = random.Random(11)
+    out = packed(spark, [rng.randrange(1, 400) for _ in range(3000)], 512, bucket=300, step=8)
+    containers, work, buckets = {}, {}, {}
+    for r in out:
+        containers.setdefault(r.step, set()).add(r.container)
+        work[r.step] = work.get(r.step, 0) + r.tokens**2
+        buckets.setdefault(r.step, set()).add(r.container >> 32)
+    sizes = [len(c) for c in containers.values()]
+    assert max(sizes) <= 8 and max(sizes) - min(sizes) <= 1 and len(set().union(*containers.values())) == sum(sizes)
+    assert min(work.values()) > 0.8 * max(work.values()) and max(map(len, buckets.values())) > 1
+
+
 def test_packing_edge_cases(spark):
     assert packed(spark, [], 100) == []
     assert [(r.id, r.piece, r.tokens) for r in sorted(packed(spark, [250], 100), key=lambda r: r.piece)] == [(0, 0, 100), (0, 1, 100), (0, 2, 50)]
