@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import table
+from ..plans.session import cut, table
 
 #: Escapes that stand for white space or punctuation, and letters by their number.
 ESCAPES = re.compile(r"\\(?:u(?:00[0-7]|20[0-6]|00a)[0-9a-fA-F]|[nrtbf\"'/\\])|&(?:quot|apos|amp|lt|gt|nbsp|#\d{2,4}|#x[0-9a-fA-F]{2,4});|%[0-7][0-9A-F]")
@@ -107,7 +108,7 @@ class Index:
         self.owner, self.at = owner_[order], at_[order]
         self.bloom = np.zeros(1 << BLOOM_BITS, bool)
         self.bloom[(self.codes * MIX) >> np.uint64(64 - BLOOM_BITS)] = True
-        ids = [self.numbers(w) for w in self.words]
+        self.word_ids = ids = [self.numbers(w) for w in self.words]
         codes_, owner_, at_ = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in ([self.word_pairs(w) for w in ids], [np.full(max(0, len(w) - 1), k) for k, w in enumerate(ids)], [np.arange(len(w) - 1) for w in ids]))
         order = np.argsort(codes_, kind="stable")
         self.pair_codes, first = np.unique(codes_[order], return_index=True)
@@ -180,7 +181,7 @@ def least_grams(lengths: list[int], rule: Rule) -> int:
     size = len(lengths)
     if not size or size > BOUNDED_WORDS:
         return 0
-    need = int(np.ceil(size * rule.share))
+    need = max(1, int(np.ceil(size * rule.share)))
     keeps = np.full((size + 1, size + 1), np.inf)  # [first word, words]
     for s in range(max(1, rule.stretch - 2), size + 1):
         # sums of the 0, 1, ... longest words of each window
@@ -210,16 +211,19 @@ def sentences(text: str) -> list[list[bytes]]:
     return [words_of(plain(s)) for s in re.split(r"(?<=[.?!;])\s+", text)]
 
 
-def shared_sentences(texts: list[str]) -> set[bytes]:
+def shared_sentences(texts: Iterable[str]) -> set[bytes]:
     """Sentences, as their joined words, that at least two texts have."""
     seen = Counter(b for t in texts for b in {b"".join(w) for w in sentences(t)})
     return {b for b, n in seen.items() if n > 1 and b}
 
 
-def frequent_words(texts: list[str], part: float) -> set[bytes]:
+def frequent_words(texts: Iterable[str], part: float) -> set[bytes]:
     """Words of more than ``part`` of the texts (and of more than one)."""
-    seen = Counter(w for t in texts for w in set(words_of(plain(t))))
-    return {w for w, n in seen.items() if n > max(1, part * len(texts))}
+    seen: Counter = Counter()
+    n = 0
+    for n, t in enumerate(texts, 1):
+        seen.update(set(words_of(plain(t))))
+    return {w for w, k in seen.items() if k > max(1, part * n)}
 
 
 def aligned(item: list[bytes], doc: list[bytes], offset: int, width: int) -> list[tuple[int, int]]:
@@ -296,24 +300,24 @@ def stretches(pairs: list[tuple[int, int]], rule: Rule) -> list[tuple[int, int]]
     return out
 
 
-def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[bytes], offsets: list[int], rule: Rule) -> tuple[int, int]:
-    """Item words that running text of ``doc`` carries, and the stretches. Shared instructions count only beside a stretch
-    of the item's own words."""
+def carried(item: np.ndarray, own: np.ndarray, proof: np.ndarray, doc: np.ndarray, offsets: list[int], rule: Rule) -> tuple[int, int]:
+    """Item words that running text of ``doc`` carries, and the stretches; both texts as word numbers. Shared instructions count
+    only beside a stretch of the item's own words."""
     got, met, n = np.zeros(len(item), bool), np.zeros(len(item), bool), 0
-    places: dict[bytes, list[int]] = {}
-    for i in np.flatnonzero(proof & own).tolist():
-        places.setdefault(item[i], []).append(i)
-    least = min(rule.proofs, len(places))
+    at = np.flatnonzero(proof & own)
+    least = min(rule.proofs, len(np.unique(item[at])))
     if least:  # distinctive words near any of the diagonals; without enough of them no stretch can bring them
-        spots = [(w, j - i) for j, w in enumerate(doc) if w in places for i in places[w]]
-        ahead = np.array([d for _, d in spots], int)
-        close = np.zeros(len(spots), bool)
+        at = at[np.argsort(item[at], kind="stable")]
+        j = np.flatnonzero(np.isin(doc, item[at]))
+        low, high = (np.searchsorted(item[at], doc[j], side) for side in ("left", "right"))
+        k = np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) + np.arange((high - low).sum())
+        word, ahead = np.repeat(doc[j], high - low), np.repeat(j, high - low) - at[k]
+        close = np.zeros(len(word), bool)
         for offset in offsets:
             close |= np.abs(ahead - offset) <= WIDTH
-        if len({spots[k][0] for k in np.flatnonzero(close)}) < least:
+        if len(np.unique(word[close])) < least:
             return 0, 0
-    a, b = numbered(item, doc)
-    bands = [(equal_words(a, b, offset, WIDTH), offset - WIDTH) for offset in offsets]
+    bands = [(equal_words(item, doc, offset, WIDTH), offset - WIDTH) for offset in offsets]
     reach = [(reachable(equal, own, rule), reachable(equal, ~own, rule)) for equal, _ in bands]
     if np.any(reach, axis=(0, 1)).sum() < len(item) * rule.share:
         return 0, 0
@@ -325,7 +329,7 @@ def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[byt
             n += not got[first : last + 1].any()
             got[first : last + 1] = True
             met[first : last + 1] |= here[first : last + 1]
-    if len({item[i] for i in np.flatnonzero(met & proof & own)}) < least:
+    if len(np.unique(item[met & proof & own])) < least:
         return 0, 0
     if got.any():
         for pairs in kept:
@@ -334,22 +338,18 @@ def carried(item: list[bytes], own: np.ndarray, proof: np.ndarray, doc: list[byt
     return int(got.sum()), n
 
 
-def searched(batch: pa.RecordBatch, index: Index, chunk: int = 1 << 20) -> Iterator[tuple]:
-    """``(row, item, carried words, words, stretches)`` of every pair that the rule accepts, for a batch of texts."""
-    rule, text = index.rule, batch.column(1)
-    lap = 4 * max([sum(map(len, w)) + len(w) for w in index.words], default=0)
-    row = 0
+def searched(batch: pa.RecordBatch, *indexes: Index, chunk: int = 1 << 20) -> Iterator[tuple]:
+    """``(row, item, carried words, words, stretches)`` of every pair that the rule accepts, for a batch of texts. Texts are
+    looked at in chunks of about ``chunk`` letters; a longer one is a chunk of its own, whole."""
+    text, row = batch.column(1), 0
     while row < len(text):
         parts, size, base = [], 0, row
         while row < len(text) and (size < chunk or not parts):
             parts.append(plain(text[row].as_py()) if text[row].is_valid else b"")
             size += len(parts[-1]) + 1
             row += 1
-        if size > 8 * chunk:  # a huge text, last in its chunk: windows of it, each with room for any item across their ends
-            huge = parts.pop()
-            for at in range(0, len(huge), 2 * chunk):
-                yield from chunk_pairs([huge[at : at + 2 * chunk + lap]], row - 1, index, rule)
-        yield from chunk_pairs(parts, base, index, rule)
+        for index in indexes:
+            yield from chunk_pairs(parts, base, index, chunk)
 
 
 def offsets_of(i: np.ndarray, j: np.ndarray, own: np.ndarray, rule: Rule, width: int = WIDTH) -> list[int]:
@@ -376,24 +376,52 @@ def offsets_of(i: np.ndarray, j: np.ndarray, own: np.ndarray, rule: Rule, width:
     return out if any_own and used.sum() >= len(own) * rule.share * (1 - rule.edits) / 4 else []
 
 
-def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iterator[tuple]:
+def shared_grams(parts: list[bytes], index: Index, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """``text * items + item`` of all that share grams, and how many; ``step`` letters are looked up at a time."""
     raw = np.frombuffer(b"\n".join(parts), np.uint8)
-    letters = LETTER[raw]
-    place = np.flatnonzero(letters)
-    ends = np.searchsorted(place, np.cumsum([len(p) + 1 for p in parts]))  # letters up to each text's end
-    g = grams(letters[place])
-    pos, item, _ = index.hits(g)
-    doc = np.searchsorted(ends, pos, side="right")
-    whole = pos + Q <= ends[np.minimum(doc, len(ends) - 1)]  # no gram spans two texts
-    pairs, n = np.unique(doc[whole] * len(index.ids) + item[whole], return_counts=True)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    letters, place = np.empty(0, np.uint8), np.empty(0, np.int64)
+    seen, counts = [], []
+    for start in range(0, len(raw), step):
+        here = LETTER[raw[start : start + step]]
+        at = np.flatnonzero(here)
+        letters, place = np.r_[letters, here[at]], np.r_[place, at + start]
+        pos, item, _ = index.hits(grams(letters))
+        doc = np.searchsorted(ends, place[pos], side="right")
+        whole = place[np.minimum(pos + Q, len(place)) - 1] < ends[doc]  # no gram spans two texts
+        pairs, n = np.unique(doc[whole] * len(index.ids) + item[whole], return_counts=True)
+        seen.append(pairs)
+        counts.append(n)
+        letters, place = letters[1 - Q :], place[1 - Q :]
+    pairs, at = np.unique(np.concatenate([np.empty(0, np.int64), *seen]), return_inverse=True)
+    return pairs, np.bincount(at, weights=np.concatenate([np.empty(0), *counts]), minlength=len(pairs))
+
+
+NO_WORD = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+
+
+def word_numbers(text: bytes, index: Index, step: int) -> np.ndarray:
+    """A text's words as numbers, about ``step`` letters at a time."""
+    out, start = [], 0
+    while start < len(text):
+        end = NO_WORD.search(text, start + step)
+        end = end.start() if end else len(text)
+        out.append(index.numbers(words_of(text[start:end])))
+        start = end
+    return np.concatenate([np.empty(0, np.int64), *out])
+
+
+def chunk_pairs(parts: list[bytes], base: int, index: Index, step: int) -> Iterator[tuple]:
+    rule = index.rule
+    pairs, n = shared_grams(parts, index, step)
     pairs = pairs[n >= index.total[pairs % len(index.ids)]]
     free = index.total <= 0  # no bound by grams: every text goes on
     some = np.arange(len(parts)) if free.any() else np.unique(pairs // len(index.ids))
-    texts = {d: words_of(parts[d]) for d in some.tolist()}
-    numbers = [index.numbers([*texts[d], b""]) for d in texts]  # the empty word, in no item, ends each text
-    if not numbers:
+    texts = {d: word_numbers(parts[d], index, step) for d in some.tolist()}
+    if not texts:
         return
-    starts, words = np.cumsum([0, *map(len, numbers)]), np.concatenate(numbers)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts.values())])
+    words = np.concatenate([np.r_[t, -1] for t in texts.values()])  # a word in no item ends each text
     proven = index.proven(words, np.repeat(some, np.diff(starts)))
     j, item, i = index.word_hits(words)
     nth = np.searchsorted(starts, j, side="right") - 1
@@ -402,14 +430,14 @@ def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iter
     pair, j, i = pair[likely], j[likely], i[likely]
     # pairs with places enough for a stretch in one band, before each is looked at
     least = least_pairs(rule)
-    order = np.argsort((pair << 32) + (j - i), kind="stable")
+    order = np.lexsort((j - i, pair))
     pair, j, i = pair[order], j[order], i[order]
-    key = (pair << 32) + (j - i)
-    many = np.unique(pair[: len(pair) - least + 1][key[least - 1 :] - key[: len(key) - least + 1] <= 2 * WIDTH]) if len(pair) >= least else pair[:0]
+    tail, head = slice(least - 1, None), slice(0, len(pair) - least + 1)
+    many = np.unique(pair[head][(pair[tail] == pair[head]) & ((j - i)[tail] - (j - i)[head] <= 2 * WIDTH)]) if len(pair) >= least else pair[:0]
     for p in many.tolist():
         a, b = np.searchsorted(pair, [p, p + 1])
         d, k = divmod(p, len(index.ids))
-        mine = index.words[k]
+        mine = index.word_ids[k]
         offsets = offsets_of(i[a:b], j[a:b], index.own[k], rule)
         if offsets:
             got, n = carried(mine, index.own[k], index.proof[k], texts[d], offsets, rule)
@@ -417,61 +445,66 @@ def chunk_pairs(parts: list[bytes], base: int, index: Index, rule: Rule) -> Iter
                 yield base + d, int(index.ids[k]), got, len(mine), n
 
 
-def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, *, rule: Rule = Rule(), block_chars: int = 4_000_000) -> DataFrame:
+def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, *, rule: Rule = Rule(), block_chars: int = 4_000_000, blocks: int = 4, most_chars: int = 256_000_000) -> DataFrame:
     """``id_col, item_id, carried, words, stretches``: the documents that carry at least ``rule.share`` of an item's words as
-    running text, in stretches of about ``rule.stretch`` words or more apart from single edited words.
+    running text, in stretches of about ``rule.stretch`` words or more apart from single edited words. A share of 0 gives
+    every passage of one stretch or more.
 
     Each document is read once, where it lies, without a shuffle. Letters and digits alone count, in one case. A pair
     of document and item goes on if the q-grams (8 letters) they share reach what the q-gram lemma leaves of the required
     words after the allowed edits (``least_grams``; where that is nothing, every document goes on), and if enough of the
     item's two words in a row lie in some band of diagonals; then the words are aligned in a band about each such
-    diagonal, and the matched words must form running text. Sentences that several
-    items share (instructions) are no passage on their own.
+    diagonal, and the matched words must form running text. Sentences that several items share (instructions) are no
+    passage on their own. All of it is decided on the whole text, whatever its length.
 
-    Items are query texts: they are broadcast in blocks of ``block_chars`` characters, one pass over the documents each.
+    Items are query texts: they are broadcast in blocks of ``block_chars`` characters, ``blocks`` of them for one pass over the
+    documents. The driver holds a block at a time, and of all items the sentences that several share; items of more
+    than ``most_chars`` characters together are refused.
     Defined results: null or empty documents and items give no row; an item id that is repeated gives a row for each of its
     different texts that is carried, reduced to one row; of a repeated document id each row is searched; extra columns are
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("bigint"), item_text).where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).distinct().toLocalIterator()]
-    rows.sort()
-    texts = [t for _, t in rows]
-    common, frequent = shared_sentences(texts), frequent_words(texts, rule.rare)
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in rows:
-        if blocks[-1] and size + len(r[1]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += len(r[1])
+    kept = cut(items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND length(text) > 0").distinct())
+    if (kept.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
+        raise ValueError(f"items of more than {most_chars} characters")
+    stated = lambda: ((r.id, r.text) for r in kept.orderBy("id", "text").toLocalIterator())
+    common, frequent = shared_sentences(t for _, t in stated()), frequent_words((t for _, t in stated()), rule.rare)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text).where(F.length(text) > 0)
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(block, rule, common, frequent))
-
+    def search(shared: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = list(searched(batch, index.value))
+                found = list(searched(batch, *(s.value for s in shared)))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[c] for f in found], t) for c, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))], names=[id_col, "item_id", "carried", "words", "stretches"])
 
         return source.mapInArrow(run, f"{id_col} {kind}, item_id bigint, carried int, words int, stretches int")
 
-    out = search(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(search(block))
+    block: list[tuple[int, str]] = []
+    size, shared = 0, [[]]
+    for r in [*stated(), None]:
+        if r is None or block and size + len(r[1]) > block_chars:
+            if len(shared[-1]) == blocks:
+                shared.append([])
+            shared[-1].append(spark.sparkContext.broadcast(Index(block, rule, common, frequent)))
+            block, size = [], 0
+        if r:
+            block.append(r)
+            size += len(r[1])
+    out = reduce(DataFrame.unionByName, [search(s) for s in shared])
     return out.groupBy(id_col, "item_id").agg(F.max_by(F.struct("carried", "words", "stretches"), "carried").alias("s")).select(id_col, "item_id", "s.*")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    """Every passage of an item in a document, however small a part of the item it is, with its share of the item's words."""
+    found = leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", rule=Rule(share=0.0))
+    return found.withColumn("share", F.round(F.col("carried") / F.col("words"), 4))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
 QUERIES = {"p8_report": p8_report, "p8_found": p8_found}

@@ -191,7 +191,7 @@ def test_sections_and_automatic_messages():
     assert subjects.is_automatic("\n\n  Merge branch 'x'") and subjects.is_automatic("Subject: [PATCH] Bump a from 1 to 2") and not subjects.is_automatic("Merged thoughts")
 
 
-def test_huge_texts_are_searched_in_windows():
+def test_huge_texts_are_searched_whole():
     import pyarrow as pa
 
     texts = [t for _, t in ITEMS if t]
@@ -255,3 +255,50 @@ def test_distinctive_words_count_for_the_item_not_each_stretch():
     docs = [" ".join(["start", *words[:10], *["between"] * 6, *words[30:40], "end"]) for words in (once, twice)]
     docs.append(" ".join(once[:10]))
     assert found_in(items, docs) == {(0, 1), (1, 2)}
+
+
+def passages(share, items, docs):
+    import pyarrow as pa
+
+    rule, texts = contamination.Rule(share=share), [t for _, t in items]
+    index = contamination.Index(items, rule, contamination.shared_sentences(texts), contamination.frequent_words(texts, rule.rare))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "text"])
+    return {(row, item): got for row, item, got, *_ in contamination.searched(batch, index)}
+
+
+def made_words(seed, n, low=3, high=9):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(low, high))) for _ in range(n)]
+
+
+def test_stretches_of_a_huge_text_are_added_up():
+    words = made_words(21, 60)
+    filler = "tail of other words " * 1_000_000  # 20 MB
+    docs = [" ".join(words[:14]) + f" {filler} " + " ".join(words[30:44]), " ".join(words[:14]) + f" {filler}"]
+    assert passages(1 / 3, [(1, " ".join(words)), (2, OTHER)], docs) == {(0, 1): 28}
+
+
+def test_small_passages_are_reported():
+    words = made_words(22, 60)
+    item, docs = [(1, " ".join(words)), (2, OTHER)], ["so " + " ".join(words[5 : 5 + n]) + " there" for n in (15, 18, 9, 6)]
+    assert passages(1 / 3, item, docs) == {}
+    found = passages(0.0, item, docs)
+    assert found[0, 1] == 15 and found[1, 1] == 18 and (3, 1) not in found
+
+
+def test_items_with_a_quarter_of_the_words_replaced_are_found():
+    items = [(k, " ".join(made_words(100 + k, 60))) for k in range(100)]
+    for every, edits in ((4, 15), (5, 12)):
+        docs = [" ".join("new" if i % every == every - 1 else w for i, w in enumerate(t.split())) for _, t in items]
+        assert edits == docs[0].split().count("new")
+        assert {(k, k) for k, _ in items} <= found_in(items, docs)
+
+
+def test_several_blocks_are_searched_in_one_pass(spark):
+    items = spark.createDataFrame([(k, " ".join(made_words(200 + k, 40))) for k in range(12)], "item_id bigint, text string")
+    docs = items.withColumnRenamed("item_id", "doc_id").repartition(3)
+    for blocks in (1, 4, 50):
+        found = contamination.leaked(docs, "doc_id", "text", items, "item_id", "text", block_chars=600, blocks=blocks)
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k, k) for k in range(12)]
+    with pytest.raises(ValueError, match="more than 100"):
+        contamination.leaked(docs, "doc_id", "text", items, "item_id", "text", most_chars=100)
