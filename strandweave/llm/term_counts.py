@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import decode, is_acgt, strip
@@ -38,37 +42,153 @@ def burst(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int,
     return routes
 
 
-def term_counts(rows: DataFrame, *, sample: DataFrame, term: str, bits: int, group: str, record: str, row_id: str, depth: int = 6, leaves: int = 8) -> DataFrame:
+#: Rows that a task holds before it packs them into tries.
+HELD = 1 << 20
+#: Entries of a trie in the order of its levels, and bits of ``null`` for what is null in a row.
+LEVELS = ("t", "g", "r", "null", "i")
+NULLS = {"g": 1, "r": 2, "i": 4}
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Integers as their least one and the differences from it, in as few bytes each as these need."""
+    if not len(x):
+        return b""
+    low = x.min()
+    over = (x - low).view(np.uint64)  # wraps where int64 does not hold the difference
+    width = next(w for w in (1, 2, 4, 8) if int(over.max()) < 1 << (8 * w))
+    return low.tobytes() + bytes([width]) + over.astype(f"<u{width}").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.int64)
+    low, width = np.frombuffer(data, np.int64, 1)[0], data[8]
+    return np.frombuffer(data, f"<u{width}", offset=9).astype(np.uint64).view(np.int64) + low
+
+
+def sorted_rows(rows: dict[str, np.ndarray], *first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Distinct rows in the order of ``first`` and of the levels, and their old places."""
+    keys = [*first, *(rows[c] for c in LEVELS)]
+    if rows["null"].any():  # a null is a value beside 0 on each level
+        null = {c: rows["null"] & bit for c, bit in NULLS.items()}
+        keys = [*first, rows["t"], rows["g"], null["g"], rows["r"], null["r"], rows["i"], null["i"]]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (*first, *rows.values()):
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    order = order[new]
+    return {c: x[order] for c, x in rows.items()}, order
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def packed_tries(rows: dict[str, np.ndarray], routes: np.ndarray, below: int) -> pa.RecordBatch:
+    """One row for each leaf that the rows reach: the subtree below it, each term once with its counters of hits and records,
+    and the records and row ids under it by which equal subtrees of other tasks are merged."""
+    base, leaves = routes[rows["t"] >> below].T
+    mix = (rows["g"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rows["r"].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    leaf = base + ((mix >> np.uint64(33)) % leaves.astype(np.uint64)).astype(np.int64)
+    rows, order = sorted_rows(rows, leaf)
+    leaf, many = leaf[order], leaves[order] > 1
+    starts = changes(leaf)
+    out = []
+    for low, high in zip(starts, np.r_[starts[1:], len(leaf)]):
+        part = {c: x[low:high] for c, x in rows.items()}
+        at = changes(part["t"], part["g"], part["null"] & NULLS["g"])
+        hits = np.diff(np.r_[at, high - low])
+        new = np.zeros(high - low, np.int64)
+        new[changes(part["t"], part["g"], part["r"], part["null"] & (NULLS["g"] | NULLS["r"]))] = 1
+        records = np.add.reduceat(new, at)
+        out.append([narrow(x) for x in (np.r_[part["t"][:1], np.diff(part["t"][at])], part["g"][at], hits, records, part["r"], part["null"], part["i"])])
+    columns = [pa.array([o[k] for o in out], pa.binary()) for k in range(7)]
+    return pa.RecordBatch.from_arrays([pa.array(leaf[starts]), pa.array(many[starts]), *columns], names=["leaf", "parts", *TRIE])
+
+
+TRIE = ("terms", "groups", "hits", "records", "rows", "nulls", "ids")
+
+
+def merged_tries(tries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, groups, whether the group is null, hits and records of subtrees of one leaf. A single subtree has its counters; of
+    several, the rows under equal terms are united."""
+    parts = [{c: widened(tries.column(c)[k].as_py()) for c in TRIE} for k in range(tries.num_rows)]
+    for p in parts:
+        p["terms"] = np.cumsum(p["terms"])
+    null = lambda p: p["nulls"][np.cumsum(np.r_[0, p["hits"][:-1]])] & NULLS["g"]
+    if len(parts) == 1:
+        p = parts[0]
+        return p["terms"], p["groups"], null(p) > 0, p["hits"], p["records"]
+    rows = {"t": [np.repeat(p["terms"], p["hits"]) for p in parts], "g": [np.repeat(p["groups"], p["hits"]) for p in parts], "r": [p["rows"] for p in parts], "null": [p["nulls"] for p in parts], "i": [p["ids"] for p in parts]}
+    one, _ = sorted_rows({c: np.concatenate(x) for c, x in rows.items()})
+    at = changes(one["t"], one["g"], one["null"] & NULLS["g"])
+    new = np.zeros(len(one["t"]), np.int64)
+    new[changes(one["t"], one["g"], one["r"], one["null"] & (NULLS["g"] | NULLS["r"]))] = 1
+    return one["t"][at], one["g"][at], (one["null"][at] & NULLS["g"]) > 0, np.diff(np.r_[at, len(one["t"])]), np.add.reduceat(new, at)
+
+
+def term_counts(rows: DataFrame, *, sample: DataFrame, term: str, bits: int, group: str, record: str, row_id: str, weight: float = 1.0, depth: int = 6, leaves: int = 8, most: int = 1 << 20) -> DataFrame:
     """``group, term, hits, records``: in each group the number of rows and of distinct records of every term. Terms
-    are integers of ``bits`` bits, two bits a digit, the highest digits first.
+    are integers of ``bits`` bits, two bits a digit, the highest digits first; the other columns are integers too.
 
-    Rows are routed by adaptive prefixes: the prefix counts of ``sample`` (rows of the same kind; any share of them, it
-    only balances the work) burst a trie until no leaf has more than its share of them, ``leaves`` leaves a partition.
-    A leaf's container is the hash table of the aggregation; the counters of a term that burst by record stand in
-    several leaves, with no record in two of them, and are added up in the end. At most 4**depth routes are broadcast.
+    Rows are routed by adaptive prefixes: the prefix counts of ``sample`` (rows of the same kind, each for ``weight`` of them; it
+    only balances the work) burst a trie until no leaf has more than its share of the rows, ``leaves`` leaves a partition, nor
+    more than ``most``. Each task accumulates its rows in compact tries, a subtree for each leaf: terms in order, as
+    differences, with counters of hits and records and the records under them. Only these subtrees are shuffled, by leaf;
+    those of one leaf match and are merged. A term that is too large for a leaf bursts on by its records: its counters stand
+    in several leaves, with no record in two of them, and are added up in the end. At most 4**depth routes are broadcast.
 
     Defined results: rows with a null term are left out; a null group, record or row id counts as a value of its own; a
     repeated row id counts once for each term, group and record; an empty table gives no rows; other columns are ignored.
     """
     spark = rows.sparkSession
-    n = partitions(spark)
-
-    def prefix(c: Column) -> Column:
-        return F.shiftright(c, bits - 2 * depth).cast("int")
-
-    seen = {r.p: r.n for r in sample.where(F.col(term).isNotNull()).groupBy(prefix(F.col(term)).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 4**depth
-    routes = burst(seen, depth, max(1, -(-sum(seen.values()) // (n * leaves))))
-    routes = spark.createDataFrame(routes, "p int, base int, leaves int").coalesce(1)
-    rows = rows.select(F.col(group).alias("g"), F.col(term).alias("t"), F.col(record).alias("r"), F.col(row_id).alias("i")).where("t IS NOT NULL")
-    routed = rows.join(F.broadcast(routes), prefix(F.col("t")) == F.col("p"))
-    leaf = F.col("base") + F.pmod(F.xxhash64("g", "r"), F.col("leaves")).cast("int")
-    placed = routed.select(leaf.alias("leaf"), (F.col("leaves") > 1).alias("parts"), "g", "t", "r", "i").repartition(n, "leaf")
-    # all group-bys hold the leaf, so the containers are filled without another exchange
-    once = placed.distinct()
-    records = once.groupBy("leaf", "parts", "g", "t", "r").agg(F.count(F.lit(1)).alias("h"))
-    tries = cut(records.groupBy("leaf", "parts", "g", "t").agg(F.sum("h").alias("hits"), F.count(F.lit(1)).alias("records")))
-    merged = tries.where("parts").groupBy("g", "t").agg(F.sum("hits").alias("hits"), F.sum("records").alias("records"))
-    return tries.where("NOT parts").select("g", "t", "hits", "records").unionByName(merged).withColumnsRenamed({"g": group, "t": term})
+    n, below = partitions(spark), bits - 2 * depth
+    prefix = F.shiftright(F.col(term), below).cast("int").alias("p")
+    seen = {r.p: r.n for r in sample.where(F.col(term).isNotNull()).groupBy(prefix).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 4**depth
+    capacity = max(1, min(-(-sum(seen.values()) // (n * leaves)), int(most / weight)))
+    routes = spark.sparkContext.broadcast(np.array([(base, many) for _, base, many in sorted(burst(seen, depth, capacity))], np.int64))
+    names = (("t", term), ("g", group), ("r", record), ("i", row_id))
+    source = rows.where(F.col(term).isNotNull()).select(*(F.col(c).cast("bigint").alias(k) for k, c in names))
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def tries() -> pa.RecordBatch:
+            return packed_tries({c: np.concatenate([h[c] for h in held]) for c in LEVELS}, routes.value, below)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            null = np.zeros(batch.num_rows, np.int64)
+            for c, bit in NULLS.items():
+                if batch.column(c).null_count:
+                    null |= np.where(batch.column(c).is_null().to_numpy(zero_copy_only=False), bit, 0)
+            held.append({"null": null, **{c: batch.column(c).fill_null(0).to_numpy() for c in ("t", "g", "r", "i")}})
+            size += batch.num_rows
+            if size >= HELD:
+                yield tries()
+                held, size = [], 0
+        if held:
+            yield tries()
+
+    def merge(tries: pa.Table) -> pa.Table:
+        t, g, null, hits, records = merged_tries(tries)
+        parts = pa.array(np.full(len(t), tries.column("parts")[0].as_py()))
+        return pa.table([parts, pa.array(g, mask=null), pa.array(t), pa.array(hits), pa.array(records)], names=["parts", "g", "t", "hits", "records"])
+
+    blocks = source.mapInArrow(accumulate, "leaf bigint, parts boolean, " + ", ".join(f"{c} binary" for c in TRIE))
+    counts = cut(blocks.repartition(n, "leaf").groupBy("leaf").applyInArrow(merge, "parts boolean, g bigint, t bigint, hits bigint, records bigint"))
+    merged = counts.where("parts").groupBy("g", "t").agg(F.sum("hits").alias("hits"), F.sum("records").alias("records"))
+    kind = rows.schema[group].dataType
+    return counts.where("NOT parts").select("g", "t", "hits", "records").unionByName(merged).select(F.col("g").cast(kind).alias(group), F.col("t").alias(term), "hits", "records")
 
 
 def marked(counts: DataFrame, groups: DataFrame, *, group: str, common_per_mille: int = 40) -> DataFrame:
@@ -80,7 +200,7 @@ def marked(counts: DataFrame, groups: DataFrame, *, group: str, common_per_mille
 
 def kmer_term_counts(spark: SparkSession, sf_dir: str, *, sample: float = 0.05) -> DataFrame:
     raw = table(spark, sf_dir, "kmer_hits")
-    return term_counts(usable_hits(raw), sample=usable_hits(raw.sample(sample, 11), columns=()), term="code", bits=2 * K, group="run_id", record="read_id", row_id="hit_id")
+    return term_counts(usable_hits(raw), sample=usable_hits(raw.sample(sample, 11), columns=()), term="code", bits=2 * K, group="run_id", record="read_id", row_id="hit_id", weight=1 / sample)
 
 
 def run_limits(spark: SparkSession, sf_dir: str) -> DataFrame:

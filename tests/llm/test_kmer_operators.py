@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,32 @@ def test_term_counts_of_an_empty_table(spark):
     assert term_counts.term_counts(df, sample=df.select("term"), term="term", bits=20, group="run", record="read", row_id="hit").count() == 0
 
 
+def test_tries_hold_counters_and_merge():
+    rng = np.random.default_rng(5)
+    rows = {c: rng.integers(lo, hi, 500) for c, lo, hi in (("t", 0, 64), ("g", -3, 3), ("r", 0, 9), ("i", -(10**14), 10**14), ("null", 0, 8))}
+    for c, bit in term_counts.NULLS.items():
+        rows[c][rows["null"] & bit > 0] = 0
+    routes = np.array(sorted(term_counts.burst(dict(Counter((rows["t"] >> 4).tolist())), 1, 60)), np.int64)[:, 1:]
+    halves = [term_counts.packed_tries({c: x[k::2] for c, x in rows.items()}, routes, 4) for k in (0, 1)]
+    assert all(b.num_rows < 30 for b in halves)
+    seen = defaultdict(set)
+    for t, g, r, i, null in zip(*(rows[c].tolist() for c in ("t", "g", "r", "i", "null"))):
+        seen[t, None if null & 1 else g].add((None if null & 2 else r, None if null & 4 else i))
+    got = Counter()
+    both = pa.Table.from_batches(halves)
+    for leaf in set(both.column("leaf").to_pylist()):
+        t, g, null, hits, records = term_counts.merged_tries(both.filter(pa.compute.equal(both.column("leaf"), leaf)))
+        for x in zip(t.tolist(), g.tolist(), null.tolist(), hits.tolist(), records.tolist()):
+            got[x[0], None if x[2] else x[1], "hits"] += x[3]
+            got[x[0], None if x[2] else x[1], "records"] += x[4]
+    assert got == {(*k, what): n for k, s in seen.items() for what, n in (("hits", len(s)), ("records", len({r for r, _ in s})))}
+
+
+def test_narrow_integers_of_any_size():
+    for x in ([], [5], [-(2**63), 2**63 - 1], [0, 255], [10**12, 10**12 + 70_000]):
+        assert term_counts.widened(term_counts.narrow(np.array(x, np.int64))).tolist() == x
+
+
 def test_trie_bursts_only_where_it_is_full():
     counts = {p: 1 for p in range(64)} | {5: 1000}
     routes = term_counts.burst(counts, 3, 20)
