@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import broadcast_checked, cut, table
@@ -19,7 +19,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # words, and the parts of id
 DIFF = re.compile(r"^(?:diff --git |Index: |--- |@@ |Binary files |GIT binary )", re.M)
 CHANGED = re.compile(r"^[+-](?!(?:\+\+|--) )[^\r\n]*", re.M)
 PATHS = re.compile(r"^(?:diff --git |Index: |--- |\+\+\+ )[^\r\n]*", re.M)
-#: Header lines of the export styles, and first lines of messages that programs write.
+#: Header lines of patch mails, git, Mercurial and Subversion logs, and first lines that git (merges), update robots
+#: and release tools write into messages.
 HEADER = re.compile(r"^(?:commit [0-9a-f]{7,}|From [0-9a-f]{7,}|(?:Author|Date|From|Commit|AuthorDate|CommitDate|Signed-off-by|Co-authored-by):|# (?:HG changeset|User|Date|Node ID|Parent|Branch)|r\d+ \|)[^\r\n]*", re.M)
 SUBJECT_LINE = re.compile(r"^\s*(?:Subject: *(?:\[[^\]\n]*\] *)?)?(?=\S)", re.M)
 AUTOMATIC = re.compile(r"(?:Merge (?:branch|pull request|remote|tag|commit)\b|Bump \S+ from |chore\(deps\)|Release v?\d|\[auto\]|Automatic )")
@@ -27,19 +28,25 @@ AUTOMATIC = re.compile(r"(?:Merge (?:branch|pull request|remote|tag|commit)\b|Bu
 
 @dataclass(frozen=True)
 class Settings:
-    """``labels`` rows of rated documents at most fit the first lexicon (the bound of that sample); a term of the final
-    one has at least ``part`` of all documents, ``pure`` of its documents about one subject, and ``lead`` times as many as
-    about any other subject; a subject needs ``terms`` distinct terms and a posterior of ``posterior``; more than ``subjects`` subjects are refused."""
+    """``labels`` rows of rated documents at most fit the first lexicon (the bound of that sample). A term of the final one is one
+    that surely (by the lower bound of a 95 % interval) has a part of more than ``own`` of its documents about one subject, and
+    more than ``clear`` of those that are about this or the next subject: rare terms need no part of the corpus, only evidence.
+    More than ``lexicon`` terms or ``subjects`` subjects are refused. ``posterior`` is the least one of a subject that counts."""
 
     labels: int = 20_000
-    part: float = 0.0015
-    pure: float = 0.72
-    lead: float = 4.0
-    terms: int = 2
+    own: float = 0.5
+    clear: float = 0.7
+    lexicon: int = 500_000
     posterior: float = 0.5
     subjects: int = 1000
 
 
+def surely(k: Column, n: Column, z: float = 2.0) -> Column:
+    """The lower end of the Wilson interval of a part of ``k`` in ``n``."""
+    p = F.least(k / n, F.lit(1.0))
+    return (p + z * z / 2 / n - z * F.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
 def folded(text: str) -> str:
     """Without accents, so that a term is the same in running text and in identifiers."""
     if text.isascii():
@@ -119,7 +126,6 @@ def corpus_terms(docs: DataFrame, text: str, lexicon: dict[str, str], settings:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen["", "docs"] += 1
                 if not t:
                     continue
                 message, changed, _ = sections(t)
@@ -150,32 +156,31 @@ def corpus_terms(docs: DataFrame, text: str, lexicon: dict[str, str], settings:
     return docs.select(text).mapInArrow(count, "term string, what string, n bigint").groupBy("term", "what").agg(F.sum("n").alias("n"))
 
 
-def final_lexicon(counts: DataFrame, lexicon: dict[str, str], settings: Settings) -> tuple[dict[str, tuple[str, str]], int]:
-    """``term -> (name of the term, subject)`` and the number of documents. Words that form one term (each nearly always
-    beside the other) get one name. At most the distinct terms of 1/part documents come to the driver."""
+def final_lexicon(counts: DataFrame, lexicon: dict[str, str], settings: Settings) -> dict[str, tuple[str, str]]:
+    """``term -> (name of the term, subject)``. Words that form one term (each nearly always beside the other) get one name."""
     counts = cut(counts)
-    total = counts.where("term = '' AND what = 'docs'").first()
-    total = total.n if total else 0
-    least = max(3, settings.part * total)
     subject = F.startswith("what", F.lit("="))
     ranked = counts.groupBy("term").agg(F.max(F.when(F.col("what") == "df", F.col("n"))).alias("df"), F.max(F.when(subject, F.struct("n", "what"))).alias("best"), F.sort_array(F.collect_list(F.when(subject, F.col("n"))), asc=False).alias("all"))
-    kept = ranked.where((F.col("df") >= least) & (F.col("best.n") >= settings.pure * F.col("df")) & (F.col("best.n") >= settings.lead * F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0))))
-    terms = {r.term: r.best.what[1:] for r in kept.select("term", "best").collect()}
+    n, next_ = F.col("best.n"), F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0))
+    kept = ranked.where((surely(n, F.col("df")) >= settings.own) & (surely(n, n + next_) >= settings.clear)).select("term", "best").limit(settings.lexicon + 1).collect()
+    if len(kept) > settings.lexicon:
+        raise ValueError(f"more than {settings.lexicon} terms")
+    terms = {r.term: r.best.what[1:] for r in kept}
     often = {r.term: r.n for r in counts.where("what = 'tf'").collect()}
     names = {w: w for w in terms}
     for r in counts.where(F.startswith("what", F.lit(">"))).collect():  # pairs of lexicon terms
         a, b = r.term, r.what[1:]
         if a in terms and b in terms and terms[a] == terms[b] and r.n >= 0.7 * max(often[a], often[b]):
             names[b] = names[a]
-    return {w: (names[w], s) for w, s in terms.items()}, total
+    return {w: (names[w], s) for w, s in terms.items()}
 
 
 VOTES = "subject string, message int, changed int, both int, address int"
 
 
 def votes(docs: DataFrame, id_col: str, text: str, repo: str, lexicon: dict[str, tuple[str, str]]) -> DataFrame:
-    """A row for each document and subject of which a term stands in the message or a changed line: distinct terms in
-    the message, in the changed lines and in both together, and whether a term stands in a file name."""
+    """A row for each document and subject of which a term stands in the message, a changed line or a file name: distinct terms
+    in the message, in the changed lines and in both together, and whether a term stands in a file name."""
     lookup = cases(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +193,11 @@ def votes(docs: DataFrame, id_col: str, text: str, repo: str, lexicon: dict[str,
                 if is_automatic(message):
                     continue
                 found = [{lookup[w] for w in set(WORD.findall(part)) if w in lookup} for part in (message, changed)]
-                if not found[0] and not found[1]:
-                    continue
                 named = {lookup[w][1] for w in set(WORD.findall(paths)) if w in lookup}
                 n = [Counter(s for _, s in part) for part in (*found, found[0] | found[1])]
-                for s, both in n[2].items():
+                for s in n[2].keys() | named:
                     rows.append(i)
-                    out.append((s, n[0][s], n[1][s], both, int(s in named)))
+                    out.append((s, n[0][s], n[1][s], n[2][s], int(s in named)))
             ids = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*ids.columns, pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2, 3, 4))], names=["id", "repo", "subject", "message", "changed", "both", "address"])
 
@@ -221,15 +224,16 @@ def latent_model(patterns: np.ndarray, n: np.ndarray, start: np.ndarray, rounds:
 
 
 def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, id_col: str = "doc_id", text: str = "text", repo: str = "repo", settings: Settings = Settings()) -> DataFrame:
-    """``id_col, subject, terms, posterior`` of every document and subject with at least ``settings.terms`` distinct terms of it
-    in the message or the changed lines.
+    """``id_col, subject, terms, posterior`` of every document and subject of which some term stands in the message, the changed lines
+    or a file name.
 
     A bounded sample of rated documents and the subjects' sample words give a first lexicon. All documents then say, for
     every term of the corpus, which subject its documents deal with by other terms; this drops words that several subjects
-    share and adds what the sample lacks. Labelling functions vote on each document and subject: the lexicon in the
-    message, in the changed lines and in both (sections), in file names (address), and the share of the
-    repository's documents that are about the subject (source). How often each pattern of votes occurs goes into a latent
-    model (a few hundred patterns, whatever the corpus), which learns the functions' accuracies without labels.
+    share and adds what the sample lacks. Four labelling functions vote on each document and subject: the lexicon (how many
+    distinct terms), the sections they stand in (message, changed lines, both), the address (file names), and the
+    source (the share of the repository's documents that are about the subject). How often each pattern of votes occurs goes
+    into a latent model (at most 5*4*2*3 patterns a subject, whatever the corpus), which learns without labels how each
+    function votes on documents that are about a subject and on those that only mention it. Its posterior alone decides.
 
     Defined results: null and empty texts, messages that programs write and documents without terms have no row; a null
     repository is one of its own; of a repeated document id the texts count one by one and the best row stands; subjects are
@@ -242,35 +246,29 @@ def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame,
     known = {r.subject.strip().lower(): sorted(term_set(folded(r.sample_words or ""))) for r in listed}
     names = sorted(known)
     first = first_lexicon(rated_terms(docs, labels, id_col, text, names, settings), known, names)
-    lexicon, _ = final_lexicon(corpus_terms(docs, text, first, settings), first, settings)
+    lexicon = final_lexicon(corpus_terms(docs, text, first, settings), first, settings)
     votes_ = cut(votes(docs, id_col, text, repo, lexicon))
 
     repos = docs.groupBy(F.coalesce(repo, F.lit("")).alias("repo")).agg(F.count(F.lit(1)).alias("docs"))
     about = votes_.where("both >= 3").groupBy(F.coalesce("repo", F.lit("")).alias("repo"), "subject").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.col("docs")
-    source = cut(about.join(repos, "repo").select("repo", "subject", "docs", F.when(share >= 0.25, 2).when(share >= 0.1, 1).otherwise(0).alias("source")).where("source > 0"))
-
-    keyed = votes_.withColumn("repo", F.coalesce("repo", F.lit(""))).join(source.select("repo", "subject", "source"), ["repo", "subject"], "left")
-    levels = [F.least("message", F.lit(3)).alias("v1"), F.least("changed", F.lit(3)).alias("v2"), F.least("both", F.lit(4)).alias("v3"), F.col("address").alias("v4"), F.coalesce("source", F.lit(0)).alias("v5")]
-    voted = cut(keyed.select("id", "subject", "both", *levels))
-    v = ["v1", "v2", "v3", "v4", "v5"]
-    seen = voted.groupBy("subject", *v).agg(F.count(F.lit(1)).alias("n")).collect()  # 4*4*5*2*3 patterns a subject at most
-    total = docs.count()
-    strong = {(r.subject, r.source): r.docs for r in source.groupBy("subject", "source").agg(F.sum("docs").alias("docs")).collect()}
+    source = cut(about.join(repos, "repo").select("repo", "subject", F.when(share >= 0.25, 2).when(share >= 0.1, 1).otherwise(0).alias("source")).where("source > 0"))
+
+    keyed = votes_.withColumn("repo", F.coalesce("repo", F.lit(""))).join(broadcast_checked(source), ["repo", "subject"], "left")
+    sections_ = (F.col("message") > 0).cast("int") + 2 * (F.col("changed") > 0).cast("int")
+    v = ["lexicon", "section", "address", "source"]
+    voted = cut(keyed.select("id", "subject", "both", F.least("both", F.lit(4)).alias("lexicon"), sections_.alias("section"), "address", F.coalesce("source", F.lit(0)).alias("source")))
+    seen = voted.groupBy("subject", *v).agg(F.count(F.lit(1)).alias("n")).collect()  # 5*4*2*3 patterns a subject at most
     rows: list[tuple] = []
     for name in names:
-        mine = [r for r in seen if r.subject == name]
-        if not mine:
-            continue
-        silent = {level: strong.get((name, level), 0) - sum(r.n for r in mine if r.v5 == level) for level in (1, 2)}
-        silent[0] = total - sum(r.n for r in mine) - sum(silent.values())
-        patterns = np.array([*([r[x] for x in v] for r in mine), *([0, 0, 0, 0, level] for level in silent)])
-        n = np.array([*(r.n for r in mine), *(max(0, x) for x in silent.values())], float)
-        posterior = latent_model(patterns, n, np.clip((patterns[:, 2] - 1) / 2, 0.01, 0.99))
-        rows += [(name, *map(int, p), float(q)) for p, q in zip(patterns[: len(mine)], posterior)]
-    table_ = F.broadcast(spark.createDataFrame(rows, "subject string, v1 int, v2 int, v3 int, v4 int, v5 int, posterior double"))
-    rated = voted.where(F.col("both") >= settings.terms).join(table_, ["subject", *v])
-    best = rated.groupBy("id", "subject").agg(F.max("both").alias("terms"), F.max("posterior").alias("posterior"))
+        mine = sorted((tuple(r[x] for x in v), r.n) for r in seen if r.subject == name)
+        if mine:
+            patterns = np.array([p for p, _ in mine])
+            start = np.clip((patterns / np.maximum(patterns.max(0), 1)).mean(1), 0.05, 0.95)
+            posterior = latent_model(patterns, np.array([n for _, n in mine], float), start)
+            rows += [(name, *p, float(q)) for (p, _), q in zip(mine, posterior)]
+    table_ = F.broadcast(spark.createDataFrame(rows, "subject string, lexicon int, section int, address int, source int, posterior double"))
+    best = voted.join(table_, ["subject", *v]).groupBy("id", "subject").agg(F.max("both").alias("terms"), F.max("posterior").alias("posterior"))
     return best.withColumnRenamed("id", id_col)
 
 
