@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -165,19 +166,33 @@ def confusion(rows: DataFrame, cluster: str, label: str) -> DataFrame:
     return rows.groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def greedy_match(counts: DataFrame, cluster: str, label: str, *, most: int = 10_000) -> list[tuple]:
-    """One-to-one pairs of cluster and label, always the largest count left (ties by cluster and label), as ``(cluster, label, n)``.
-    The matrix must have at most ``most`` cells that are not 0."""
-    cells = counts.where(F.col(cluster).isNotNull() & F.col(label).isNotNull()).orderBy(F.desc("n"), cluster, label).limit(most + 1).collect()
-    if len(cells) > most:
-        raise ValueError("the confusion matrix is too large to be matched")
-    out, left, right = [], set(), set()
-    for r in cells:
-        if r[cluster] not in left and r[label] not in right:
-            out.append((r[cluster], r[label], r.n))
-            left.add(r[cluster])
-            right.add(r[label])
-    return out
+def greedy_match(counts: DataFrame, cluster: str, label: str) -> DataFrame:
+    """One-to-one pairs of cluster and label, always the largest count left (ties by cluster and label), as ``cluster, label, n``.
+
+    A cell that is the first of its row and of its column is what the greedy choice takes in the end, whatever comes before, so
+    every round takes all such cells at once and drops their rows and columns."""
+    left = cut(counts.where(F.col(cluster).isNotNull() & F.col(label).isNotNull()).select(cluster, label, "n"))
+    taken = []
+    while left.limit(1).count():
+        first = {}
+        for own, other in ((cluster, label), (label, cluster)):
+            best = left.groupBy(own).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(other).alias("o"))).alias("b"))
+            first[own] = best.select(own, F.col("b.o").alias(other))
+        took = cut(left.join(first[cluster], [cluster, label], "left_semi").join(first[label], [cluster, label], "left_semi"))
+        rest = cut(left.join(took.select(cluster), cluster, "left_anti").join(took.select(label), label, "left_anti"))
+        release(left)
+        taken.append(took)
+        left = rest
+    release(left)
+    return reduce(DataFrame.unionByName, taken) if taken else counts.select(cluster, label, "n").limit(0)
+
+
+def accuracy(counts: DataFrame, matched: DataFrame) -> DataFrame:
+    """``correct, total, accuracy``: how many records of a confusion table lie in the label that their cluster is matched with,
+    and the percentage."""
+    correct = matched.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("correct"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return correct.join(F.broadcast(total)).select("correct", "total", F.round(100 * F.col("correct") / F.nullif(F.col("total"), F.lit(0)), 6).alias("accuracy"))
 
 
 def group_distances(queries: DataFrame, points: DataFrame, *, block: int = 4096, dims: int = 136) -> DataFrame:
@@ -219,48 +234,3 @@ def group_distances(queries: DataFrame, points: DataFrame, *, block: int = 4096,
     whole = F.sum("c").over(Window.partitionBy("g1", "g2"))
     run = counts.withColumns({"upto": upto, "n": whole})
     return run.groupBy("g1", "g2").agg(F.max("n").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), F.round(F.sum(F.col("d") * F.col("c")) / F.max("n"), 6).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("d"))).alias("median"))
-
-
-def merge_log(points: DataFrame, *, most: int = 2048) -> DataFrame:
-    """``c1, c2, new, dist``: agglomerative clustering of groups (``grp, ranks``; grp 0, 1, ...) by the upper median of all distances
-    between two clusters; of equal distances the smaller numbers merge first. For up to ``most`` points, a bound on the
-    table of pairs that one task holds; more are refused."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"at most {most} points can be merged")
-        r, grp = np.stack(pdf.ranks.to_numpy()).astype(np.int32), pdf.grp.to_numpy()
-        d = np.array([np.abs(r - x).sum(1) for x in r])
-        live = {int(g): np.flatnonzero(grp == g) for g in np.unique(grp)}
-        pair = {(a, b): upper(d[np.ix_(live[a], live[b])]) for a in live for b in live if a < b}
-        out, new = [], max(live) + 1
-        while len(live) > 1:
-            (a, b), dist = min(pair.items(), key=lambda x: (x[1], x[0]))
-            out.append((a, b, new, float(dist)))
-            live[new] = np.concatenate([live.pop(a), live.pop(b)])
-            pair = {p: v for p, v in pair.items() if not {a, b} & set(p)}
-            pair.update({(c, new): upper(d[np.ix_(live[c], live[new])]) for c in live if c != new})
-            new += 1
-        return pd.DataFrame(out, columns=["c1", "c2", "new", "dist"])
-
-    return points.select(F.lit(0).alias("one"), "grp", "ranks").groupBy("one").applyInPandas(run, "c1 bigint, c2 bigint, new bigint, dist double")
-
-
-def upper(d: np.ndarray) -> int:
-    return int(np.sort(d, axis=None)[d.size // 2])
-
-
-def dendrogram(names: list[str], log: list[tuple[int, int, int, float]]) -> list[str]:
-    """A merge log as text: a line for each leaf, with the distances of the merges above it, the outermost first."""
-    children = {new: (a, b) for a, b, new, _ in log}
-    height = {new: dist for _, _, new, dist in log}
-    lines: list[str] = []
-    todo: list[tuple[int, tuple[int, ...]]] = [(max(children, default=0), ())]
-    while todo:
-        node, above = todo.pop()
-        if node in children:
-            todo += [(child, (*above, node)) for child in reversed(children[node])]
-        else:
-            marks = [f"{height[n]:04.2f}---" if n in above else "-" * 10 for n in sorted(children, reverse=True)]
-            lines.append("".join(marks) + names[node])
-    return lines

@@ -6,10 +6,15 @@ next base, an in bit the complement of the base before, that is the next base of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import canonical, is_acgt, revcomp
+from ..functions.bases import canonical, decode, is_acgt, revcomp
+from ..functions.hits import BASE_CODE
 
 
 def kmer_windows(reads: DataFrame, k: int, *, id_col: str = "read_id") -> DataFrame:
@@ -36,16 +41,78 @@ def kmer_windows(reads: DataFrame, k: int, *, id_col: str = "read_id") -> DataFr
     return rows.where(is_acgt("kmer")).select(id_col, "len", "pos", "kmer", "rev", F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("nexts"), F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")).alias("prevs"))
 
 
+def coded_windows(text: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical codes (``bases.canonical_code``) and the masks of the bases before and after, as one byte (``prevs`` in the high
+    half), of all windows of k ACGT letters."""
+    raw = np.frombuffer(("N".join(t or "" for t in text) + "N").encode("ascii", "replace"), np.uint8)
+    base = BASE_CODE[raw]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8)
+    bad = np.r_[0, np.cumsum(base > 3)]
+    at = np.flatnonzero(bad[k:] == bad[:-k])  # a window that spans two reads holds the N between them
+    two = (base & 3).astype(np.int64)
+    ahead, turned = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for i in range(k):
+        b = two[at + i]
+        ahead |= b << (2 * i)
+        turned |= (3 - b) << (2 * (k - 1 - i))
+    bit = np.r_[np.uint8(1) << np.minimum(base, 3), np.uint8(0)] * np.r_[base < 4, False]
+    back = np.r_[np.uint8(8) >> np.minimum(base, 3), np.uint8(0)] * np.r_[base < 4, False]
+    after, before = bit[at + k], np.where(at > 0, back[at - 1], 0)
+    rev = turned < ahead
+    return np.where(rev, turned, ahead), np.where(rev, after, before).astype(np.uint8), np.where(rev, before, after).astype(np.uint8)
+
+
+def counted_windows(reads: DataFrame, k: int) -> DataFrame:
+    """``code, cnt, in_mask, out_mask`` of all windows, k at most 31: counted in Arrow batches first, so each task ships a k-mer once for
+    about a million of its windows, as eight bytes, and added up behind one exchange."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str | None] = []
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            code, prevs, nexts = coded_windows(held, k)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+            masks = [np.bitwise_or.reduceat(m[order], starts) if len(code) else m for m in (prevs, nexts)]
+            return pa.RecordBatch.from_arrays([pa.array(code[starts]), pa.array(np.diff(np.r_[starts, len(code)])), *(pa.array(m.astype(np.int32)) for m in masks)], names=["code", "cnt", "in_mask", "out_mask"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            size += batch.column(0).nbytes
+            if size > 1 << 20:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    rows = reads.where(F.length("seq") >= k).select("seq").mapInArrow(count, "code bigint, cnt bigint, in_mask int, out_mask int")
+    return rows.groupBy("code").agg(F.sum("cnt").alias("cnt"), F.bit_or("in_mask").alias("in_mask"), F.bit_or("out_mask").alias("out_mask"))
+
+
+def counted(reads: DataFrame, k: int) -> DataFrame:
+    """``kmer, cnt, in_mask, out_mask`` over all windows, on codes where they hold k bases. One shuffle, aggregated before it, so
+    frequent k-mers don't skew it."""
+    if k <= 31:
+        return counted_windows(reads, k).select(decode("code", k).alias("kmer"), "cnt", "in_mask", "out_mask")
+    return kmer_windows(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.bit_or("prevs").alias("in_mask"), F.bit_or("nexts").alias("out_mask"))
+
+
+def capped(cap: int | None) -> Column:
+    return F.least(F.col("cnt"), F.lit(cap)) if cap else F.col("cnt")
+
+
 def count_kmers(reads: DataFrame, k: int, *, cap: int | None = 65535) -> DataFrame:
-    """``kmer, cnt, in_mask, out_mask`` over all windows. Counts stop at ``cap``, as 16-bit counters do; None lifts that.
-    One shuffle, partially aggregated before it, so frequent k-mers don't skew it."""
-    n = F.count(F.lit(1))
-    return kmer_windows(reads, k).groupBy("kmer").agg((F.least(n, F.lit(cap)) if cap else n).alias("cnt"), F.bit_or("prevs").alias("in_mask"), F.bit_or("nexts").alias("out_mask"))
+    """``kmer, cnt, in_mask, out_mask`` over all windows. Counts stop at ``cap``, as 16-bit counters do; None lifts that."""
+    return counted(reads, k).withColumn("cnt", capped(cap))
 
 
 def solid_kmers(reads: DataFrame, k: int, min_count: int) -> DataFrame:
     """``kmer``: those with at least ``min_count`` windows."""
-    return kmer_windows(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count).select("kmer")
+    return counted(reads, k).where(F.col("cnt") >= min_count).select("kmer")
 
 
 def spectrum(counts: DataFrame) -> DataFrame:
@@ -65,10 +132,10 @@ def gap_fill(reads: DataFrame, solid: DataFrame, k: int) -> DataFrame:
     return spread.where(enough & F.col("hit").isNull() & (F.col("pos") > F.col("first")) & (F.col("pos") < F.col("last"))).select("kmer").distinct()
 
 
-def graph_nodes(reads: DataFrame, vertices: DataFrame, k: int, *, cap: int = 65535) -> DataFrame:
+def graph_nodes(reads: DataFrame, vertices: DataFrame, k: int, *, cap: int | None = 65535) -> DataFrame:
     """``kmer, cnt, in_mask, out_mask`` of the given vertices, counted over reads longer than k. Edges may still lead
-    outside (``prune_edges``). A vertex in no such read has count 0."""
-    found = kmer_windows(reads.where(F.length("seq") > k), k).join(vertices, "kmer", "left_semi").groupBy("kmer").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("cnt"), F.bit_or("prevs").alias("in_mask"), F.bit_or("nexts").alias("out_mask"))
+    outside (``prune_edges``). A vertex in no such read has count 0. Windows are counted before they meet the vertices."""
+    found = counted(reads.where(F.length("seq") > k), k).withColumn("cnt", capped(cap))
     return vertices.join(found, "kmer", "left").select("kmer", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cnt", "in_mask", "out_mask")))
 
 
@@ -119,6 +186,9 @@ def dice(sets: DataFrame, owner: str, member: str) -> DataFrame:
     """``a, b, shared, dice`` for every two sets with a common member: 100*2*|A and B|/(|A|+|B|) over distinct members."""
     members = sets.select(F.col(owner).alias("o"), F.col(member).alias("m")).where("o IS NOT NULL AND m IS NOT NULL").distinct()
     sizes = members.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
-    both = members.withColumnRenamed("o", "a").join(members.withColumnRenamed("o", "b"), "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    # members of the same sets count together, so a pair of sets is made once for each such pattern, not for each member
+    patterns = members.groupBy("m").agg(F.array_sort(F.collect_list("o")).alias("os")).where(F.size("os") > 1).groupBy("os").agg(F.count(F.lit(1)).alias("n"))
+    first = patterns.select("n", "os", F.posexplode("os").alias("i", "a")).select("a", "n", F.explode(F.slice("os", F.col("i") + 2, F.size("os"))).alias("b"))
+    both = first.groupBy("a", "b").agg(F.sum("n").alias("shared"))
     sized = both.join(sizes.select(F.col("o").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("o").alias("b"), F.col("n").alias("n_b")), "b")
     return sized.select("a", "b", "shared", F.round(200 * F.col("shared") / (F.col("n_a") + F.col("n_b")), 6).alias("dice"))

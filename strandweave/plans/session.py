@@ -14,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder, which all executors share. Where both are
+    unset, one of our own if driver and executors are one process (tests); on a cluster that is an error."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-strandweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

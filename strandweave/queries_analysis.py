@@ -71,9 +71,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_centres(spark: SparkSession, sf_dir: str, most: int = 10_000) -> list[tuple[int, list[int]]]:
-    """Centres left over from earlier, by id: their ranks (a bounded list)."""
-    rows = latest(table(spark, sf_dir, "centers").where(is_vector("ranks", 136)), "center_id", "computed_at").orderBy("center_id").limit(most)
-    return [(r.center_id, list(r.ranks)) for r in rows.select("center_id", "ranks").collect()]
+    """Centres left over from earlier, by id: their ranks. More than ``most`` are refused."""
+    rows = latest(table(spark, sf_dir, "centers").where(is_vector("ranks", 136)), "center_id", "computed_at").orderBy("center_id").select("center_id", "ranks").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centres")
+    return [(r.center_id, list(r.ranks)) for r in rows]
 
 
 def vector_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +115,13 @@ def cluster_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cluster.greedy_match(cluster_confusion(spark, sf_dir), "centre", "seq_len")
-    return spark.createDataFrame(pairs, "centre bigint, seq_len int, n bigint")
+    return cluster.greedy_match(cluster_confusion(spark, sf_dir), "centre", "seq_len")
+
+
+def cluster_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of records whose length is the one that their cluster is matched with."""
+    counts = cut(cluster_confusion(spark, sf_dir).where("seq_len IS NOT NULL"))
+    return cluster.accuracy(counts, cluster.greedy_match(counts, "centre", "seq_len"))
 
 
 def cluster_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,18 +138,6 @@ def group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.group_distances(rows.where("id % 100 = 0"), rows)
 
 
-def centre_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge log of the known centres."""
-    rows = [(i, r) for i, (_, r) in enumerate(known_centres(spark, sf_dir, 2048))]
-    return cluster.merge_log(spark.createDataFrame(rows, "grp bigint, ranks array<int>"))
-
-
-def centre_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"center{c}" for c, _ in known_centres(spark, sf_dir, 2048)]
-    log = [(r.c1, r.c2, r.new, r.dist) for r in centre_merges(spark, sf_dir).collect()]
-    return spark.createDataFrame(list(enumerate(cluster.dendrogram(names, log))), "line int, text string")
-
-
 def vector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cut(vectors(spark, sf_dir).select("id", "vals", "ranks"))
     return cluster.best_kmeans(points, 8)
@@ -178,7 +173,7 @@ def taxonomy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.reference_tables(tree(spark, sf_dir), seqs, ("region", "nation"))[1]
 
 
-QUERIES = {f.__name__: f for f in (contig_n50, contig_n50_reference, coverage_report, contigs_unaligned, similar_report, similar_wrong, placement_concordance, vector_ranks, contig_vectors, vector_nearest, cluster_spread, cluster_centroids, vectors_normalized, cluster_confusion, cluster_matched, cluster_classified, group_distances, centre_merges, centre_dendrogram, vector_kmeans, taxonomy_closure, taxonomy_compressed, taxonomy_rollup, taxonomy_references)}
+QUERIES = {f.__name__: f for f in (contig_n50, contig_n50_reference, coverage_report, contigs_unaligned, similar_report, similar_wrong, placement_concordance, vector_ranks, contig_vectors, vector_nearest, cluster_spread, cluster_centroids, vectors_normalized, cluster_confusion, cluster_matched, cluster_accuracy, cluster_classified, group_distances, vector_kmeans, taxonomy_closure, taxonomy_compressed, taxonomy_rollup, taxonomy_references)}
 
 BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 HITS = f"""h0 AS (SELECT * REPLACE (ltrim(rtrim(ref, {BLANK}), {BLANK} || '>') AS ref) FROM delta_alignments QUALIFY row_number() OVER (PARTITION BY aln_id ORDER BY loaded_at DESC NULLS LAST) = 1),

@@ -111,3 +111,20 @@ def read_merge_log(spark: SparkSession, path: str) -> DataFrame:
     """``c1, c2, new, dist`` of the lines that are numbers; the names before them are dropped."""
     rows = tokens(spark.read.text(path), r"[,\s]+").where(F.size("t") >= 4)
     return rows.select(number(1).alias("c1"), number(2).alias("c2"), number(3).alias("new"), word(4).try_cast("double").alias("dist")).where("c1 IS NOT NULL AND c2 IS NOT NULL AND new IS NOT NULL")
+
+
+def write_taxonomy(refs: DataFrame, groups: DataFrame, path: str) -> None:
+    """The reference database as text: ``references`` has a name and its numbers, six places each, a line (``ref, vals``);
+    ``groups`` a rank, a taxon and one of its references (``rank, taxon_id, ref``). So neither a taxon's references nor all of
+    them are ever one record."""
+    numbers = F.array_join(F.transform("vals", lambda v: F.format_string("%.6f", v)), " ")
+    refs.select(F.concat_ws(" ", "ref", numbers).alias("value")).where("ref IS NOT NULL AND vals IS NOT NULL").write.text(f"{path}/references")
+    groups.where("rank IS NOT NULL AND taxon_id IS NOT NULL AND ref IS NOT NULL").select(F.concat_ws(" ", "rank", "taxon_id", "ref").alias("value")).write.text(f"{path}/groups")
+
+
+def read_taxonomy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``ref, vals`` and ``rank, taxon_id, ref`` of a reference database."""
+    rows = tokens(spark.read.text(f"{path}/references")).where(F.size("t") > 1)
+    refs = rows.select(word(1).alias("ref"), F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda x: x.try_cast("double")).alias("vals"))
+    groups = tokens(spark.read.text(f"{path}/groups")).where(F.size("t") >= 3)
+    return refs, groups.select(word(1).alias("rank"), number(2).alias("taxon_id"), word(3).alias("ref"))

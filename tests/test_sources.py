@@ -1,5 +1,7 @@
 """Text formats, the FASTQ source at span ends, and streams."""
 
+import random
+
 from conftest import rows
 
 from strandweave.operators import cluster
@@ -45,14 +47,6 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     assert rows(got.select("kmer", "cnt")) == rows(stream.kmer_counts(spark.createDataFrame(data, "read_id bigint, seq string"), 5))
 
 
-def test_dendrogram_and_merges(spark):
-    points = spark.createDataFrame([(0, [0, 1, 2]), (1, [0, 2, 1]), (2, [2, 1, 0])], "grp bigint, ranks array<int>")
-    log = [tuple(r) for r in cluster.merge_log(points).collect()]
-    assert log == [(0, 1, 3, 2.0), (2, 3, 4, 4.0)]
-    assert cluster.dendrogram(["a", "b", "c"], log) == ["4.00-------------c", "4.00---2.00---a", "4.00---2.00---b"]
-    assert cluster.dimensions()[-1][0] < 256 and len(cluster.dimensions()) == 136
-
-
 def test_stream_drops_resent_reads(spark, tmp_path):
     data = [(i % 30, "ACGTACGTTAGC", f"2024-01-{1 + i // 30:02d} 00:00:00") for i in range(60)]
     df = spark.createDataFrame(data, "read_id bigint, seq string, t string").selectExpr("read_id", "seq", "CAST(t AS timestamp) AS loaded_at")
@@ -61,3 +55,30 @@ def test_stream_drops_resent_reads(spark, tmp_path):
     stream.counted_batches(stream.once(reads, "30 days"), 5, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = stream.totals(spark.read.parquet(str(tmp_path / "out")))
     assert rows(got.select("kmer", "cnt")) == rows(stream.kmer_counts(df.limit(30), 5))
+
+
+def test_greedy_match_and_accuracy(spark):
+    rng = random.Random(3)
+    cells = [(c, t, rng.randrange(1, 9)) for c in range(12) for t in range(10) if rng.random() < 0.5] + [(None, 1, 99), (3, None, 99)]
+    left, right, want = set(), set(), []
+    for c, t, n in sorted((x for x in cells if None not in x), key=lambda x: (-x[2], x[0], x[1])):
+        if c not in left and t not in right:
+            want.append((c, t, n))
+            left.add(c)
+            right.add(t)
+    counts = spark.createDataFrame(cells, "centre bigint, taxon int, n bigint")
+    matched = cluster.greedy_match(counts, "centre", "taxon")
+    assert rows(matched) == sorted(want)
+    whole = counts.where("centre IS NOT NULL AND taxon IS NOT NULL")
+    total, correct = sum(n for c, t, n in cells if None not in (c, t)), sum(n for *_, n in want)
+    assert [tuple(r) for r in cluster.accuracy(whole, matched).collect()] == [(correct, total, round(100 * correct / total, 6))]
+    assert cluster.greedy_match(counts.limit(0), "centre", "taxon").collect() == []
+
+
+def test_taxonomy_text(spark, tmp_path):
+    refs = spark.createDataFrame([("a", [0.25, 0.75]), ("b", [1.0, 0.0]), (None, [1.0]), ("c", None)], "ref string, vals array<double>")
+    groups = spark.createDataFrame([("genus", 5, "a"), ("genus", 5, "b"), ("phylum", None, "a")], "rank string, taxon_id bigint, ref string")
+    text.write_taxonomy(refs, groups, str(tmp_path / "db"))
+    back, taxa = text.read_taxonomy(spark, str(tmp_path / "db"))
+    assert rows(back.select("ref", "vals")) == [("a", [0.25, 0.75]), ("b", [1.0, 0.0])]
+    assert rows(taxa) == [("genus", 5, "a"), ("genus", 5, "b")]
