@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import decode
 from ..functions.hits import usable_hits
-from ..plans.session import partitions, table
+from ..plans.session import cut, partitions, table
 from .term_counts import USABLE
 
 K = 31
@@ -79,7 +79,8 @@ def top_values(rows: DataFrame, value: str, k: int, *, run: int = 1 << 19) -> Da
     Defined results: nulls are no value; fewer than ``k`` distinct values give that many rows; an empty table none.
     """
     spark = rows.sparkSession
-    runs = rows.select(F.col(value).alias("value")).mapInArrow(lambda b: counted_runs(b, run), "value bigint, n bigint")
+    # a table, as the bounds of the ranges are sampled from it before it is partitioned
+    runs = cut(rows.select(F.col(value).alias("value")).mapInArrow(lambda b: counted_runs(b, run), "value bigint, n bigint"))
     ranges = runs.repartitionByRange(partitions(spark), "value").sortWithinPartitions("value")
     best = ranges.mapInArrow(lambda b: heaviest(b, k), "value bigint, n bigint")
     return best.orderBy(F.desc("n"), "value").limit(k)
