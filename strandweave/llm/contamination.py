@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import cut, table
+from ..plans.session import cut, partitions, table
 
 #: Escapes that stand for white space or punctuation, and letters by their number.
 ESCAPES = re.compile(r"\\(?:u(?:00[0-7]|20[0-6]|00a)[0-9a-fA-F]|[nrtbf\"'/\\])|&(?:quot|apos|amp|lt|gt|nbsp|#\d{2,4}|#x[0-9a-fA-F]{2,4});|%[0-7][0-9A-F]")
@@ -79,7 +79,7 @@ class Index:
     Sentences that several items share are instructions; their words don't count as carried on their own.
     """
 
-    def __init__(self, items: list[tuple[int, str]], rule: Rule, common: set[bytes], frequent: set[bytes]):
+    def __init__(self, items: list[tuple[int, str]], rule: Rule, common: set[bytes], frequent: set[bytes], bounds: list[int] | None = None):
         self.rule, self.ids = rule, np.array([i for i, _ in items], np.int64)
         codes, owner, at = [], [], []
         self.words: list[list[bytes]] = []
@@ -98,7 +98,7 @@ class Index:
             self.words.append(words)
             self.own.append(own)
             self.proof.append(np.array([w not in frequent for w in words], bool))
-            self.total[k] = least_grams([len(w) for w in words], rule)
+            self.total[k] = bounds[k] if bounds else least_grams([len(w) for w in words], rule)
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         codes_, owner_, at_ = np.concatenate(codes or [np.empty(0, np.uint64)]), np.concatenate(owner or [[]]).astype(np.int64), np.concatenate(at or [[]]).astype(np.int64)
@@ -465,11 +465,18 @@ def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: s
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    kept = cut(items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND length(text) > 0").distinct())
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [least_grams([len(w) for w in words_of(plain(t))], rule) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["id", "text", "least"])
+
+    once = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND length(text) > 0").distinct()
+    kept = cut(once.repartition(partitions(spark), "id", "text").mapInArrow(bounds, "id bigint, text string, least bigint"))
     if (kept.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
         raise ValueError(f"items of more than {most_chars} characters")
-    stated = lambda: ((r.id, r.text) for r in kept.orderBy("id", "text").toLocalIterator())
-    common, frequent = shared_sentences(t for _, t in stated()), frequent_words((t for _, t in stated()), rule.rare)
+    stated = lambda: ((r.id, r.text, r.least) for r in kept.orderBy("id", "text").toLocalIterator())
+    common, frequent = shared_sentences(t for _, t, _ in stated()), frequent_words((t for _, t, _ in stated()), rule.rare)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text).where(F.length(text) > 0)
 
@@ -482,13 +489,13 @@ def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: s
 
         return source.mapInArrow(run, f"{id_col} {kind}, item_id bigint, carried int, words int, stretches int")
 
-    block: list[tuple[int, str]] = []
+    block: list[tuple[int, str, int]] = []
     size, shared = 0, [[]]
     for r in [*stated(), None]:
         if r is None or block and size + len(r[1]) > block_chars:
             if len(shared[-1]) == blocks:
                 shared.append([])
-            shared[-1].append(spark.sparkContext.broadcast(Index(block, rule, common, frequent)))
+            shared[-1].append(spark.sparkContext.broadcast(Index([b[:2] for b in block], rule, common, frequent, [b[2] for b in block])))
             block, size = [], 0
         if r:
             block.append(r)
