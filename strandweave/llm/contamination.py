@@ -472,7 +472,7 @@ def leaked(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["id", "text", "least"])
 
     once = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND length(text) > 0").distinct()
-    kept = cut(once.repartition(partitions(spark), "id", "text").mapInArrow(bounds, "id bigint, text string, least bigint"))
+    kept = cut(once.repartition(partitions(spark)).mapInArrow(bounds, "id bigint, text string, least bigint"))
     if (kept.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
         raise ValueError(f"items of more than {most_chars} characters")
     stated = lambda: ((r.id, r.text, r.least) for r in kept.orderBy("id", "text").toLocalIterator())
