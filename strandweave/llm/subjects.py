@@ -157,12 +157,18 @@ def corpus_terms(docs: DataFrame, text: str, lexicon: dict[str, str], settings:
 
 
 def final_lexicon(counts: DataFrame, lexicon: dict[str, str], settings: Settings) -> dict[str, tuple[str, str]]:
-    """``term -> (name of the term, subject)``. Words that form one term (each nearly always beside the other) get one name."""
+    """``term -> (name of the term, subject)`` of the terms that surely belong to a subject, and of those of the first lexicon that
+    likely do, which matters where the corpus is small. Words that form one term (each nearly always beside the other) get one
+    name."""
     counts = cut(counts)
     subject = F.startswith("what", F.lit("="))
     ranked = counts.groupBy("term").agg(F.max(F.when(F.col("what") == "df", F.col("n"))).alias("df"), F.max(F.when(subject, F.struct("n", "what"))).alias("best"), F.sort_array(F.collect_list(F.when(subject, F.col("n"))), asc=False).alias("all"))
     n, next_ = F.col("best.n"), F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0))
-    kept = ranked.where((surely(n, F.col("df")) >= settings.own) & (surely(n, n + next_) >= settings.clear)).select("term", "best").limit(settings.lexicon + 1).collect()
+    known = counts.sparkSession.createDataFrame([(w,) for w in lexicon], "term string").withColumn("known", F.lit(True)).coalesce(1)
+    ranked = ranked.join(F.broadcast(known), "term", "left")
+    sure = (surely(n, F.col("df")) >= settings.own) & (surely(n, n + next_) >= settings.clear)
+    likely = F.col("known") & (n >= 3) & (n >= 0.72 * F.col("df")) & (n >= 4 * next_)
+    kept = ranked.where(sure | F.coalesce(likely, F.lit(False))).select("term", "best").limit(settings.lexicon + 1).collect()
     if len(kept) > settings.lexicon:
         raise ValueError(f"more than {settings.lexicon} terms")
     terms = {r.term: r.best.what[1:] for r in kept}
