@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks that may surround a name or a k-mer.
@@ -110,3 +110,62 @@ def degree(mask: Column | str) -> Column:
 
 def saturated(c: Column | str, cap: int = 65535) -> Column:
     return F.least(col(c), F.lit(cap))
+
+
+def word(c: Column | str) -> Column:
+    """ACGT string of up to 31 letters as BIGINT, two bits a base and the first base highest: words sort as strings do."""
+    return F.conv(F.translate(col(c), "ACGT", "0123"), 4, 10).cast("bigint")
+
+
+def word_text(c: Column | str, k: int) -> Column:
+    """The k letters of a ``word``."""
+    return F.translate(F.lpad(F.conv(col(c).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def other_strand(c: Column | str, k: int) -> Column:
+    """The ``word`` of the reverse complement: all bits turned, then pairs of bits swapped in steps of doubled width."""
+    c = F.bitwise_not(col(c))
+    for width, low in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        mask = F.lit(low).cast("bigint")
+        c = F.shiftrightunsigned(c, width).bitwiseAND(mask).bitwiseOR(F.shiftleft(c.bitwiseAND(mask), width))
+    return F.shiftrightunsigned(c, 64 - 2 * k)
+
+
+class Vertices:
+    """What the graph asks of oriented k-mers, written as strings or, for k up to 31, as words; both sort alike."""
+
+    def __init__(self, k: int, coded: bool) -> None:
+        if coded and not 0 < k <= 31:
+            raise ValueError("words need their k, of at most 31")
+        self.k, self.coded = k, coded
+
+    @classmethod
+    def like(cls, df: DataFrame, column: str, k: int) -> Vertices:
+        """As the column of ``df`` holds them."""
+        return cls(k, df.schema[column].dataType.typeName() == "long")
+
+    def turned(self, c: Column | str) -> Column:
+        return other_strand(c, self.k) if self.coded else revcomp(c)
+
+    def canonical(self, c: Column | str) -> Column:
+        return F.least(col(c), self.turned(c))
+
+    def of(self, text: Column | str) -> Column:
+        return word(text) if self.coded else col(text)
+
+    def text(self, c: Column | str) -> Column:
+        return word_text(c, self.k) if self.coded else col(c)
+
+    def following(self, c: Column | str, base: Column) -> Column:
+        """The vertex that leaves out the first base and ends with ``base`` (0 to 3)."""
+        if self.coded:
+            return F.shiftleft(col(c), 2).bitwiseAND(F.lit((1 << 2 * self.k) - 1).cast("bigint")).bitwiseOR(base.cast("bigint"))
+        return F.concat(F.substring(col(c), 2, self.k - 1), self.letter(base))
+
+    def last(self, c: Column | str) -> Column:
+        """The letter of the last base."""
+        return self.letter(col(c).bitwiseAND(F.lit(3).cast("bigint"))) if self.coded else F.right(col(c), F.lit(1))
+
+    @staticmethod
+    def letter(base: Column) -> Column:
+        return F.substring(F.lit("ACGT"), (base + 1).cast("int"), F.lit(1))

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import canonical, decode, is_acgt, revcomp
+from ..functions.bases import Vertices, is_acgt, revcomp, word_text
 from ..functions.hits import BASE_CODE
+from ..plans.session import cut
 
 
 def kmer_windows(reads: DataFrame, k: int, *, id_col: str = "read_id") -> DataFrame:
@@ -41,63 +42,97 @@ def kmer_windows(reads: DataFrame, k: int, *, id_col: str = "read_id") -> DataFr
     return rows.where(is_acgt("kmer")).select(id_col, "len", "pos", "kmer", "rev", F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("nexts"), F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")).alias("prevs"))
 
 
-def coded_windows(text: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical codes (``bases.canonical_code``) and the masks of the bases before and after, as one byte (``prevs`` in the high
-    half), of all windows of k ACGT letters."""
+def coded_windows(text: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical words (``bases.word``) and the masks of the bases before and after, as bytes, of all windows of k ACGT letters, and where
+    each window begins in the texts when they are laid one after another with a letter between them."""
     raw = np.frombuffer(("N".join(t or "" for t in text) + "N").encode("ascii", "replace"), np.uint8)
     base = BASE_CODE[raw]
     n = len(base) - k + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8)
+        return np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8), np.empty(0, np.int64)
     bad = np.r_[0, np.cumsum(base > 3)]
     at = np.flatnonzero(bad[k:] == bad[:-k])  # a window that spans two reads holds the N between them
     two = (base & 3).astype(np.int64)
     ahead, turned = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for i in range(k):
         b = two[at + i]
-        ahead |= b << (2 * i)
-        turned |= (3 - b) << (2 * (k - 1 - i))
+        ahead |= b << (2 * (k - 1 - i))
+        turned |= (3 - b) << (2 * i)
     bit = np.r_[np.uint8(1) << np.minimum(base, 3), np.uint8(0)] * np.r_[base < 4, False]
     back = np.r_[np.uint8(8) >> np.minimum(base, 3), np.uint8(0)] * np.r_[base < 4, False]
     after, before = bit[at + k], np.where(at > 0, back[at - 1], 0)
     rev = turned < ahead
-    return np.where(rev, turned, ahead), np.where(rev, after, before).astype(np.uint8), np.where(rev, before, after).astype(np.uint8)
+    return np.where(rev, turned, ahead), np.where(rev, after, before).astype(np.uint8), np.where(rev, before, after).astype(np.uint8), at
 
 
-def counted_windows(reads: DataFrame, k: int) -> DataFrame:
-    """``code, cnt, in_mask, out_mask`` of all windows, k at most 31: counted in Arrow batches first, so each task ships a k-mer once for
-    about a million of its windows, as eight bytes, and added up behind one exchange."""
+BATCH = "word bigint, cnt bigint, long_cnt bigint, in_mask int, out_mask int, spots array<struct<read_id:bigint,len:int,pos:int>>"
+
+
+def batch_counts(reads: DataFrame, k: int, *, thin: int = 0) -> DataFrame:
+    """``word, cnt, long_cnt, in_mask, out_mask, spots`` of all windows, k at most 31, counted in Arrow batches of about a million windows,
+    each of which has one row for a k-mer. ``long_cnt`` counts the windows of reads longer than k. Where a batch has fewer than ``thin``
+    windows of a k-mer, ``spots`` says where in such reads they lie (from 1 on); windows with other letters than ACGT are counted 0 times
+    under words below 0, with their spots. Reads without an id have no spots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str | None] = []
+        names: list[int | None] = []
         size = 0
 
         def summed() -> pa.RecordBatch:
-            code, prevs, nexts = coded_windows(held, k)
+            code, prevs, nexts, at = coded_windows(held, k)
+            lens = np.array([len(t or "") for t in held], np.int64)
+            begins = np.cumsum(lens + 1) - lens - 1
+            named = np.array([n is not None for n in names])
+            ids = np.array([n or 0 for n in names], np.int64)
+            real = np.ones(len(at), np.int64)
+            if thin and (lens - k + 1).sum() > len(at):
+                spans = lens - k + 1
+                every = np.arange(spans.sum()) + np.repeat(begins - np.cumsum(spans) + spans, spans)
+                other = np.setdiff1d(every, at, assume_unique=True)
+                code = np.r_[code, -1 - (ids[np.searchsorted(begins, other, side="right") - 1] & (2**62 - 1))]
+                none = np.zeros(len(other), np.uint8)
+                prevs, nexts, at, real = np.r_[prevs, none], np.r_[nexts, none], np.r_[at, other], np.r_[real, none]
             order = np.argsort(code, kind="stable")
-            code = code[order]
+            code, at, real = code[order], at[order], real[order]
+            owner = np.searchsorted(begins, at, side="right") - 1
+            long_ = lens[owner] > k
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+            n = np.diff(np.r_[starts, len(code)])
+            add = lambda x: np.add.reduceat(x, starts) if len(code) else x
             masks = [np.bitwise_or.reduceat(m[order], starts) if len(code) else m for m in (prevs, nexts)]
-            return pa.RecordBatch.from_arrays([pa.array(code[starts]), pa.array(np.diff(np.r_[starts, len(code)])), *(pa.array(m.astype(np.int32)) for m in masks)], names=["code", "cnt", "in_mask", "out_mask"])
+            told = (np.repeat((n < thin) | (code[starts] < 0), n) if len(code) else np.empty(0, bool)) & long_ & named[owner] if thin else np.zeros(len(code), bool)
+            where = pa.StructArray.from_arrays([pa.array(ids[owner][told]), pa.array(lens[owner][told].astype(np.int32)), pa.array((at - begins[owner] + 1)[told].astype(np.int32))], ["read_id", "len", "pos"])
+            offsets = np.r_[0, np.cumsum(add(told.astype(np.int64)))].astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(code[starts]), pa.array(add(real)), pa.array(add(real * long_)), *(pa.array(m.astype(np.int32)) for m in masks), pa.ListArray.from_arrays(pa.array(offsets), where)],
+                names=["word", "cnt", "long_cnt", "in_mask", "out_mask", "spots"],
+            )
 
         for batch in batches:
-            held += batch.column(0).to_pylist()
-            size += batch.column(0).nbytes
+            held += batch.column(1).to_pylist()
+            names += batch.column(0).to_pylist()
+            size += batch.column(1).nbytes
             if size > 1 << 20:
                 yield summed()
-                held, size = [], 0
+                held, names, size = [], [], 0
         if held:
             yield summed()
 
-    rows = reads.where(F.length("seq") >= k).select("seq").mapInArrow(count, "code bigint, cnt bigint, in_mask int, out_mask int")
-    return rows.groupBy("code").agg(F.sum("cnt").alias("cnt"), F.bit_or("in_mask").alias("in_mask"), F.bit_or("out_mask").alias("out_mask"))
+    name = F.col("read_id").cast("bigint") if "read_id" in reads.columns else F.lit(None).cast("bigint")
+    return reads.where(F.length("seq") >= k).select(name.alias("read_id"), "seq").mapInArrow(count, BATCH)
+
+
+def summed_counts(batches: DataFrame) -> DataFrame:
+    """``word, cnt, long_cnt, in_mask, out_mask`` over all batches, behind one exchange."""
+    return batches.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("cnt", "long_cnt")), *(F.bit_or(c).alias(c) for c in ("in_mask", "out_mask")))
 
 
 def counted(reads: DataFrame, k: int) -> DataFrame:
     """``kmer, cnt, in_mask, out_mask`` over all windows, on codes where they hold k bases. One shuffle, aggregated before it, so
     frequent k-mers don't skew it."""
     if k <= 31:
-        return counted_windows(reads, k).select(decode("code", k).alias("kmer"), "cnt", "in_mask", "out_mask")
+        return summed_counts(batch_counts(reads, k)).select(word_text("word", k).alias("kmer"), "cnt", "in_mask", "out_mask")
     return kmer_windows(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.bit_or("prevs").alias("in_mask"), F.bit_or("nexts").alias("out_mask"))
 
 
@@ -139,24 +174,48 @@ def graph_nodes(reads: DataFrame, vertices: DataFrame, k: int, *, cap: int | Non
     return vertices.join(found, "kmer", "left").select("kmer", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cnt", "in_mask", "out_mask")))
 
 
-def oriented_edges(nodes: DataFrame) -> DataFrame:
-    """``u, v``: an edge for each mask bit, with every vertex written as its string on the strand it is met on. Out bits leave
-    the k-mer, in bits leave its reverse complement, so edges come with their mirror image."""
-    rc = revcomp("kmer")
+def solid_graph(reads: DataFrame, k: int, min_count: int, *, cap: int | None = 65535) -> DataFrame:
+    """The ``graph_nodes`` of all solid and filled-in k-mers; for k up to 31 with ``kmer`` as a word. ``read_id`` must be unique; reads
+    without one are counted and fill no gap.
+
+    The windows are counted once, in batches. Only k-mers that are thin in a batch travel with the places where they lie, and of those
+    only the ones that are thin in all reads are put in order for each read: solid windows are the read's others."""
+    if k > 31:
+        solid = cut(solid_kmers(reads, k, min_count))
+        return graph_nodes(reads, solid.unionByName(gap_fill(reads, solid, k)), k, cap=cap)
+    batches = cut(batch_counts(reads, k, thin=min_count))
+    totals = cut(summed_counts(batches))
+    thin = totals.where(F.col("cnt") < min_count).select("word")
+    places = batches.where(F.size("spots") > 0).select("word", "spots").join(thin, "word", "left_semi").select("word", F.inline("spots"))
+    read = Window.partitionBy("read_id")
+    order = read.orderBy("pos")
+    placed = places.withColumns({"rank": F.row_number().over(order), "n": F.count(F.lit(1)).over(read)}).withColumn("all", F.col("len") - (k - 1))
+    enough = F.col("all") - F.col("n") > F.greatest(F.col("len") - (2 * k - 1), F.floor(F.col("all") / 2))
+    inside = (F.col("rank") < F.col("pos")) & (F.col("n") - F.col("rank") < F.col("all") - F.col("pos"))  # a solid window before and after
+    filled = placed.where(enough & inside & (F.col("word") >= 0)).select("word").distinct()
+    kept = totals.where((F.col("cnt") >= min_count) & (F.col("word") >= 0)).unionByName(totals.where(F.col("cnt") < min_count).join(filled, "word", "left_semi"))
+    return kept.select(F.col("word").alias("kmer"), F.col("long_cnt").alias("cnt"), "in_mask", "out_mask").withColumn("cnt", capped(cap))
 
-    def leaving(start, mask):
-        bits = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
-        return F.transform(bits, lambda i: F.struct(start.alias("u"), F.concat(F.substring(start, F.lit(2), F.length("kmer")), F.substring(F.lit("ACGT"), i + 1, F.lit(1))).alias("v")))
 
-    edges = nodes.select(F.explode(F.concat(leaving(F.col("kmer"), "out_mask"), leaving(rc, "in_mask"))).alias("e")).select("e.u", "e.v")
-    return edges.distinct()  # a palindrome's bits stand in both masks
+def oriented_edges(nodes: DataFrame, k: int | None = None) -> DataFrame:
+    """``u, v``: an edge for each mask bit, with every vertex written as its string or word on the strand it is met on. Out bits leave
+    the k-mer, in bits leave its reverse complement, so edges come with their mirror image."""
+    vx = Vertices.like(nodes, "kmer", k or 0)
+    both = nodes.select("kmer", vx.turned("kmer").alias("rc"), "in_mask", "out_mask")
+    # a palindrome's bits stand in both masks, and its edges are those of one strand
+    same = F.col("kmer") == F.col("rc")
+    strands = both.select(F.explode(F.array(F.struct(F.col("kmer").alias("u"), F.when(same, F.col("out_mask").bitwiseOR(F.col("in_mask"))).otherwise(F.col("out_mask")).alias("mask")), F.struct(F.col("rc").alias("u"), F.when(same, 0).otherwise(F.col("in_mask")).alias("mask")))).alias("s")).select("s.*")
+    bits = strands.select("u", "mask", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("i")).where(F.call_function("shiftright", F.col("mask"), F.col("i")).bitwiseAND(F.lit(1)) == 1)
+    v = vx.following("u", F.col("i")) if vx.coded else F.concat(F.substring("u", F.lit(2), F.length("u")), vx.letter(F.col("i")))
+    return bits.select("u", v.alias("v"))
 
 
-def prune_edges(nodes: DataFrame) -> DataFrame:
+def prune_edges(nodes: DataFrame, k: int | None = None) -> DataFrame:
     """``u, v``: edges both of whose ends exist, in both directions."""
-    edges = oriented_edges(nodes).withColumn("kmer", canonical("v"))
+    vx = Vertices.like(nodes, "kmer", k or 0)
+    edges = oriented_edges(nodes, k).withColumn("kmer", vx.canonical("v"))
     kept = edges.join(nodes.select("kmer"), "kmer", "left_semi").select("u", "v")
-    return kept.unionByName(kept.select(revcomp("v").alias("u"), revcomp("u").alias("v"))).distinct()
+    return kept.unionByName(kept.select(vx.turned("v").alias("u"), vx.turned("u").alias("v"))).distinct()
 
 
 def all_edges(nodes: DataFrame) -> DataFrame:

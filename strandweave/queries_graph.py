@@ -96,28 +96,40 @@ def kmer_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``kmer, cnt, in_mask, out_mask``) and pruned edges of the solid and filled-in k-mers of all reads."""
-    r = cut(active_reads(spark, sf_dir))
-    solid = cut(kmers.solid_kmers(r, k, MIN_COUNT))
-    vertices = solid.unionByName(kmers.gap_fill(r, solid, k))
-    nodes = cut(kmers.graph_nodes(r, vertices, k))
-    return nodes, cut(kmers.prune_edges(nodes))
+    """Nodes (``kmer, cnt, in_mask, out_mask``) and pruned edges of the solid and filled-in k-mers of all reads, as words."""
+    nodes = read_nodes(spark, sf_dir, k)
+    return nodes, cut(kmers.prune_edges(nodes, k))
+
+
+def read_nodes(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return cut(kmers.solid_graph(active_reads(spark, sf_dir), k, MIN_COUNT))
+
+
+def lettered(df: DataFrame, *columns: str) -> DataFrame:
+    """Words of K bases as strings."""
+    return df.withColumns({c: B.word_text(c, K) for c in columns})
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_graph(spark, sf_dir)[0]
+    return lettered(read_nodes(spark, sf_dir), "kmer")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_graph(spark, sf_dir)[1]
+    return lettered(read_graph(spark, sf_dir)[1], "u", "v")
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.coverage_stats(read_graph(spark, sf_dir)[0])
+    return kmers.coverage_stats(read_nodes(spark, sf_dir))
 
 
 def graph_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.graph_violations(*read_graph(spark, sf_dir))
+    return lettered(graph.graph_violations(*read_graph(spark, sf_dir), K), "u", "v")
+
+
+def graph_check_unpruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check finds on edges that still lead to k-mers outside the graph."""
+    nodes = read_nodes(spark, sf_dir)
+    return lettered(graph.graph_violations(nodes, cut(kmers.oriented_edges(nodes, K)), K), "u", "v")
 
 
 def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,13 +155,28 @@ def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bubbles(*read_graph(spark, sf_dir), K)
 
 
+def contig_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``read_id, seq``: each contig of ACGT letters two or three times, and twice with another base in its middle."""
+    c = table(spark, sf_dir, "contigs").select("contig_id", "seq").distinct().where(B.is_acgt("seq"))
+    middle = F.floor(F.length("seq") / 2).cast("int")
+    variant = F.concat(F.substring("seq", F.lit(1), middle), F.translate(F.substring("seq", middle + 1, F.lit(1)), "ACGT", "CATG"), F.substring("seq", middle + 2, F.length("seq")))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(3) + (F.col("contig_id") % 2).cast("int")))
+    return c.select("contig_id", "seq", variant.alias("other"), copies.alias("i")).select((F.col("contig_id") * 5 + F.col("i")).alias("read_id"), F.when(F.col("i") < 2, F.col("other")).otherwise(F.col("seq")).alias("seq"))
+
+
+def bubbles_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bubbles of the graph of all contigs and their variants; every other contig is as covered as its variant."""
+    nodes = cut(kmers.solid_graph(contig_variants(spark, sf_dir), K, MIN_COUNT))
+    return graph.bubbles(nodes, cut(kmers.prune_edges(nodes, K)), K)
+
+
 def reference_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.upper(B.strip("kmer"))
     rows = table(spark, sf_dir, "ref_kmers").select(B.clean_name("ref").alias("ref"), text.alias("t")).where((F.length("t") == 31) & B.is_acgt("t"))
     return kmers.dice(rows.select("ref", B.canonical("t").alias("kmer")), "ref", "kmer").withColumnsRenamed({"a": "ref1", "b": "ref2"})
 
 
-QUERIES = {f.__name__: f for f in (read_clean, read_split, read_normalize, read_normalize_pairs, read_merge, base_functions, name_tokens, kmer_counts, kmer_spectrum, kmer_gap_fill, graph_nodes, graph_edges, graph_stats, graph_check, read_hits, unitigs, unitigs_trimmed, unitigs_thick, bubbles, reference_dice)}
+QUERIES = {f.__name__: f for f in (read_clean, read_split, read_normalize, read_normalize_pairs, read_merge, base_functions, name_tokens, kmer_counts, kmer_spectrum, kmer_gap_fill, graph_nodes, graph_edges, graph_stats, graph_check, graph_check_unpruned, read_hits, unitigs, unitigs_trimmed, unitigs_thick, bubbles, bubbles_of_variants, reference_dice)}
 
 LATEST = "lr AS (SELECT * FROM short_reads QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 
@@ -275,4 +302,10 @@ n AS (SELECT ref, count(*) AS n FROM m GROUP BY ref),
 p AS (SELECT a.ref AS ref1, b.ref AS ref2, count(*) AS shared FROM m a JOIN m b ON a.k = b.k AND a.ref < b.ref GROUP BY a.ref, b.ref)
 SELECT ref1, ref2, shared, round(200 * shared / (a.n + b.n), 6) AS dice FROM p JOIN n a ON a.ref = ref1 JOIN n b ON b.ref = ref2""",
 }
+ORACLE["graph_check_unpruned"] = f"""{GRAPH} SELECT u, v, 'target' AS why FROM oe WHERE {canon('v')} NOT IN (SELECT kmer FROM nodes)
+UNION ALL SELECT u, v, 'mirror' FROM oe a WHERE NOT EXISTS (SELECT 1 FROM oe b WHERE b.u = {rc('a.v')} AND b.v = {rc('a.u')})"""
+VARIANTS = """cv AS (SELECT DISTINCT contig_id, seq FROM contigs WHERE regexp_full_match(seq, '[ACGT]*')),
+cr AS (SELECT contig_id * 5 + i AS read_id, true AS active, CASE WHEN i < 2 THEN left(seq, length(seq) // 2) || translate(substr(seq, length(seq) // 2 + 1, 1), 'ACGT', 'CATG') || substr(seq, length(seq) // 2 + 2) ELSE seq END AS seq
+       FROM (SELECT *, unnest(range(0, 4 + contig_id % 2)) AS i FROM cv))"""
+ORACLE["bubbles_of_variants"] = ORACLE["bubbles"].replace(cleaned(0), VARIANTS)
 ORACLE |= {name: typed(ORACLE[name], INTEGER="len") for name in ("unitigs", "unitigs_trimmed", "unitigs_thick")}
