@@ -97,7 +97,8 @@ def error_profile(hits: DataFrame, reads: DataFrame, contigs: DataFrame) -> Data
     base before differed too. ``hits`` is ``read_id, contig_id, off, rev``: where the read's first base lies (on the
     reverse strand, where its last base lies). Only the first hit of a read counts."""
     first = hits.groupBy("read_id").agg(F.min(F.struct("contig_id", "off", "rev")).alias("h")).select("read_id", "h.*")
-    rows = first.join(reads.select("read_id", "seq"), "read_id").join(contigs.select("contig_id", F.col("seq").alias("contig")), "contig_id")
+    # hints: what is exploded from contigs is larger than the planner takes it for
+    rows = first.join(reads.select("read_id", "seq").hint("merge"), "read_id").join(contigs.select("contig_id", F.col("seq").alias("contig")).hint("merge"), "contig_id")
     read = F.when(F.col("rev"), F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq"))
     wrong = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring(read, i, F.lit(1)) != F.substring("contig", F.col("off") + i, F.lit(1)))
     inside = (F.col("off") >= 0) & (F.col("off") + F.length("seq") <= F.length("contig")) & (F.length("seq") > 0)
@@ -109,5 +110,5 @@ def error_profile(hits: DataFrame, reads: DataFrame, contigs: DataFrame) -> Data
 def depth_histogram(hits: DataFrame, contigs: DataFrame) -> DataFrame:
     """``depth, contigs``: how many contigs have each mean depth of read bases (rounded down). ``hits`` is ``contig_id, len``."""
     sums = hits.groupBy("contig_id").agg(F.sum("len").alias("bases"))
-    depth = contigs.where(F.length("seq") > 0).select("contig_id", F.length("seq").alias("size")).join(sums, "contig_id", "left")
+    depth = contigs.where(F.length("seq") > 0).select("contig_id", F.length("seq").alias("size")).join(sums.hint("merge"), "contig_id", "left")
     return depth.groupBy(F.floor(F.coalesce("bases", F.lit(0)) / F.col("size")).alias("depth")).agg(F.count(F.lit(1)).alias("contigs"))
