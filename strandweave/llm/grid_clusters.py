@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +22,7 @@ AXES = 2
 @dataclass(frozen=True)
 class Grid:
     """``width`` of a cell in ranks along a direction; a dense cell holds at least ``dense`` records and a part ``share`` of
-    those of its grid; the tree of grids is fitted on about ``sample`` records; a part of fewer than ``least`` records is
+    those of its grid; the tree of grids is fitted on all records, those of a part of at most ``gathered`` in one task; a part of fewer than ``least`` records is
     not looked at, and one of which ``whole`` lies under one label is not split. A record is near a mean within ``near``
     times the median distance of records of about its length, one alike to no other within ``border`` times; two records are alike
     within ``alike`` times what their lengths let expect. A piece whose median distance from its mean is more than ``tight`` of a
@@ -31,7 +32,7 @@ class Grid:
     width: float = 60.0
     dense: int = 3
     share: float = 0.01
-    sample: int = 8192
+    gathered: int = 32_768
     least: int = 8
     whole: float = 0.7
     tight: float = 0.53
@@ -105,17 +106,21 @@ def cell_labels(cells: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+#: The child of a cell whose part has no grid.
+GONE = -(1 << 40)
 
 
 @dataclass
 class Node:
-    """A grid: its centre and axes, the keys of its labelled cells in order, and the child of each: a node, or a leaf as -1 - leaf."""
+    """A grid: its centre and axes, the keys of its labelled cells and those beside them in order, the child of each (a node, a leaf
+    as -1 - leaf, or ``GONE``), and which cells are labelled themselves (``inner``)."""
 
     centre: np.ndarray
     axes: np.ndarray
     width: float
     keys: np.ndarray
     children: np.ndarray
+    inner: np.ndarray
 
     def cells(self, r: np.ndarray) -> np.ndarray:
         return np.floor((r - self.centre) @ self.axes.T / self.width).astype(np.int64)
@@ -126,8 +131,8 @@ def cell_keys(cells: np.ndarray) -> np.ndarray:
     return (cells + (1 << 12)) @ (1 << 13) ** np.arange(cells.shape[1])
 
 
-def widened_cells(cells: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and labels of the cells with a label (not -1) and of those beside them, which take that of the fullest."""
+def widened_cells(cells: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and labels of the cells with a label (not -1) and of those beside them, which take that of the fullest, and which are the former."""
     known = np.flatnonzero(label >= 0)
     steps = np.array(list(np.ndindex(*[3] * cells.shape[1]))) - 1
     near = (cells[known][:, None] + steps).reshape(-1, cells.shape[1])
@@ -135,7 +140,7 @@ def widened_cells(cells: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[
     keys, which = cell_keys(near), np.repeat(known, len(steps))
     order = np.lexsort((-n[which], ~own, keys))
     keys, first = np.unique(keys[order], return_index=True)
-    return keys, label[which[order][first]]
+    return keys, label[which[order][first]], own[order][first]
 
 
 def dense_labels(cells: np.ndarray, n: np.ndarray, grid: Grid) -> np.ndarray:
@@ -145,62 +150,107 @@ def dense_labels(cells: np.ndarray, n: np.ndarray, grid: Grid) -> np.ndarray:
     return np.where(n[label] >= least, label, -1)
 
 
-def grid_of(part: np.ndarray, grid: Grid) -> tuple[Node, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A grid that cuts the records apart, with its cells, their counts and labels, and the cell of each record: on the two
-    directions of most variance; if that leaves records in one piece that scatter more than those of one composition do, on the
-    next directions, and in narrower cells. None for a piece that scatters so and cannot be cut, and if no cell is dense."""
-    if len(part) < grid.least:
-        return None
-    centre = part.mean(0)
-    directions = np.linalg.svd(part - centre, full_matrices=False)[2]
-    spread = np.median(distances(part, centre[None]))
+def directions(n: int, total: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of ``n`` rank vectors and their directions of variance, the most first, from their sum and the sum of their products."""
+    centre = total / n
+    return centre, np.linalg.eigh(outer / n - np.outer(centre, centre))[1].T[::-1]
+
+
+def tries(grid: Grid, axes: int) -> list[tuple[float, int]]:
+    """Widths and first directions of the grids that a part may have, in the order in which they are tried."""
+    return [(width, k) for width in (grid.width, 0.7 * grid.width, 0.5 * grid.width) for k in range(0, min(6, axes - AXES + 1), AXES)]
+
+
+Cells = tuple[np.ndarray, np.ndarray]
+
+
+def grid_by(count: Callable[[int], Cells], spread: float, centre: np.ndarray, axes: np.ndarray, grid: Grid) -> tuple[int, Node, np.ndarray, np.ndarray, np.ndarray] | None:
+    """A grid that cuts the records of a part apart: on the two directions of most variance; if that leaves records in one piece that
+    scatter more than those of one composition do, on the next directions, and in narrower cells. ``count`` gives the cells of a try
+    with their counts. The number of the try, its node (its children index the labels), the labels, how many records lie under
+    each, and the label of each cell. None for a piece that scatters so and cannot be cut, and if no cell is dense."""
     out = None
-    for width in (grid.width, 0.7 * grid.width, 0.5 * grid.width):
-        for k in range(0, min(6, len(directions) - AXES + 1), AXES):
-            node = Node(centre, directions[k : k + AXES], width, np.empty(0, np.int64), np.empty(0, np.int64))
-            cells, at, n = np.unique(node.cells(part), axis=0, return_inverse=True, return_counts=True)
-            label = dense_labels(cells, n, grid)
-            found = node, cells, n, label, at.ravel()
-            if len(np.unique(label[label >= 0])) > 1:
-                return found
-            if out is None and (label >= 0).any():
-                out = found
-            if spread <= grid.tight * grid.random:
-                return out
+    for t, (width, k) in enumerate(tries(grid, len(axes))):
+        cells, n = count(t)
+        label = dense_labels(cells, n, grid)
+        names = np.unique(label[label >= 0])
+        if len(names) and (out is None or len(names) > 1):
+            keys, label_of, inner = widened_cells(cells, n, label)
+            node = Node(centre, axes[k : k + AXES].copy(), width, keys, np.searchsorted(names, label_of), inner)
+            out = t, node, names, np.array([n[label == x].sum() for x in names]), label
+        if len(names) > 1 or spread <= grid.tight * grid.random:
+            return out
     return None
 
 
+class Tree:
+    """Grids, the first of them the root, and numbered parts: the leaves. Part 0 are all records; a part is open until it is ``put``."""
+
+    def __init__(self, grid: Grid):
+        self.grid, self.nodes, self.over, self.parts = grid, [], {0: -1}, 1
+
+    def hang(self, part: int, child: int) -> None:
+        over = self.over.pop(part)
+        if over >= 0:
+            children = self.nodes[over].children
+            children[children == -1 - part] = child
+
+    def put(self, part: int, found: tuple[Node, np.ndarray] | None, n: int) -> list[int]:
+        """Give the part of ``n`` records its grid (none: it has no leaf). The numbers of the parts under the labels, in their order,
+        none if one label holds nearly all, which then is a leaf."""
+        self.hang(part, len(self.nodes) if found else GONE)
+        if not found:
+            return []
+        node, sizes = found
+        numbers = self.parts + np.arange(len(sizes))
+        node.children = -1 - numbers[node.children]
+        self.nodes.append(node)
+        self.parts += len(sizes)
+        if len(sizes) == 1 and sizes[0] >= self.grid.whole * n:
+            return []
+        self.over |= {int(p): len(self.nodes) - 1 for p in numbers}
+        return numbers.tolist()
+
+    def graft(self, part: int, nodes: list[Node]) -> None:
+        """Give the part a tree of its own (none: it has no leaf)."""
+        self.hang(part, len(self.nodes) if nodes else GONE)
+        at, base = len(self.nodes), self.parts
+        for node in nodes:
+            child = node.children
+            node.children = np.where(child > 0, child + at, np.where(child == GONE, GONE, child - base))
+            self.parts = max(self.parts, base + 1 + int(-child.min(initial=0, where=child != GONE)))
+        self.nodes += nodes
+
+
 def grids_of(r: np.ndarray, grid: Grid) -> list[Node]:
-    """A tree of grids, fitted on a sample of rank vectors: the records under each label of a grid's dense cells have a grid of
-    their own (``grid_of``), and so on until one label holds nearly all. The first node is the root; leaves are numbered;
-    no node if there is nothing dense."""
-    nodes: list[Node] = []
-    leaves, todo, open_ = 0, [(r, -1, 0)], 1 << 40
+    """A tree of grids for rank vectors: the records under each label of a grid's dense cells have a grid of their own, and so
+    on until one label holds nearly all. The first node is the root; leaves are numbered; no node if there is nothing dense."""
+    tree, todo = Tree(grid), [(r, 0)]
     while todo:
-        part, parent, slot = todo.pop()
-        found = grid_of(part, grid)
-        if parent >= 0:
-            nodes[parent].children[nodes[parent].children == -open_ - slot] = len(nodes) if found else -open_
-        if not found:
-            continue
-        node, cells, n, label, at = found
-        nodes.append(node)
-        node.keys, label_of = widened_cells(cells, n, label)
-        node.children = np.full(len(node.keys), -open_)
-        known = np.unique(label[label >= 0])
-        for k, name in enumerate(known):
-            mine = part[label[at] == name]
-            if len(known) == 1 and len(mine) >= grid.whole * len(part):
-                node.children[:] = -1 - leaves
-                leaves += 1
-            else:
-                node.children[label_of == name] = -open_ - 1 - k
-                todo.append((mine, len(nodes) - 1, 1 + k))
-    return nodes
-
-
-def walked(r: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """The leaf of each rank vector (-1 for those that leave the labelled cells) and its cell on the leaf's grid."""
+        part, number = todo.pop()
+        found = at = None
+        if len(part) >= grid.least:
+            centre, axes = directions(len(part), part.sum(0), part.T @ part)
+            axes = axes[: min(len(part), grid.dims)]
+            spots = {}
+
+            def count(t: int) -> Cells:
+                width, k = tries(grid, len(axes))[t]
+                cells, spots[t], n = np.unique(np.floor((part - centre) @ axes[k : k + AXES].T / width).astype(np.int64), axis=0, return_inverse=True, return_counts=True)
+                return cells, n
+
+            found = grid_by(count, np.median(distances(part, centre[None])), centre, axes, grid)
+        if found:
+            t, node, names, sizes, label = found
+            at = label[spots[t].ravel()]
+        for name, p in zip(names if found else [], tree.put(number, (node, sizes) if found else None, len(part))):
+            todo.append((part[at == name], p))
+    return tree.nodes
+
+
+def walked(r: np.ndarray, nodes: list[Node], *, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of each rank vector (-1 for those that leave the labelled cells and those beside them, or, with ``inner``, the
+    labelled ones) and its cell on the leaf's grid."""
     at, leaf = np.zeros(len(r), np.int64), np.full(len(r), -1, np.int64)
     cell = np.zeros((len(r), AXES), np.int64)
     for k, node in enumerate(nodes):  # parents come before their children
@@ -211,12 +261,153 @@ def walked(r: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         cell[here] = cells
         keys = cell_keys(cells)
         spot = np.minimum(np.searchsorted(node.keys, keys), len(node.keys) - 1)
-        child = np.where(node.keys[spot] == keys, node.children[spot], -(1 << 40))
+        child = np.where((node.keys[spot] == keys) & (node.inner[spot] | (not inner)), node.children[spot], GONE)
         at[here] = np.where(child > 0, child, -1)
-        leaf[here] = np.where((child < 0) & (child > -(1 << 40)), -1 - child, -1)
+        leaf[here] = np.where((child < 0) & (child > GONE), -1 - child, -1)
     return leaf, cell
 
 
+def parts_of(r: np.ndarray, nodes: list[Node]) -> np.ndarray:
+    """The part in which each rank vector is counted."""
+    return walked(r, nodes, inner=True)[0] if nodes else np.zeros(len(r), np.int64)
+
+
+def frames(rows: DataFrame, nodes: list[Node], parts: list[int], grid: Grid) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The mean and the directions of most variance of each part, over all its rows: sums, added up in the tasks first."""
+    shared, dims = rows.sparkSession.sparkContext.broadcast((nodes, np.sort(parts))), grid.dims
+    upper = np.triu_indices(dims)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        tree, wanted = shared.value
+
+        def short(outer: np.ndarray) -> bytes:
+            flat = outer[upper]
+            return flat.astype("<u4" if flat.max() < 2**32 else "<f8").tobytes()
+
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([n for n, _, _ in held.values()], pa.int64()), pa.array([t.tobytes() for _, t, _ in held.values()], pa.binary()), pa.array([short(o) for _, _, o in held.values()], pa.binary())], names=["part", "n", "total", "outer"])
+
+        for batch in batches:
+            r = matrix(batch.column(0), dims).astype(float)
+            of = parts_of(r, tree)
+            for p in np.intersect1d(of, wanted).tolist():
+                x = r[of == p]
+                n, total, outer = held.get(p, (0, 0, 0))
+                held[p] = (n + len(x), total + x.sum(0), outer + x.T @ x)
+            if len(held) > 256:
+                yield sums()
+                held.clear()
+        yield sums()
+
+    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = sum(np.frombuffer(x, "<u4" if len(x) == 4 * len(upper[0]) else "<f8").astype(float) for x in pdf.outer)
+        outer = np.zeros((dims, dims))
+        outer[upper] = flat
+        outer.T[upper] = flat
+        centre, axes = directions(int(pdf.n.sum()), sum(np.frombuffer(x) for x in pdf.total), outer)
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "frame": [np.r_[centre[None], axes[: 6 + AXES]].tobytes()]})
+
+    got = rows.select("ranks").mapInArrow(partial, "part bigint, n bigint, total binary, outer binary").groupBy("part").applyInPandas(frame, "part bigint, frame binary").collect()
+    both = {r.part: np.frombuffer(r.frame).reshape(-1, dims) for r in got}
+    return {p: (x[0], x[1:]) for p, x in both.items()}
+
+
+#: Bits of a cell's coordinate, and of the number of a try, in a key; distances are counted in steps of 1 / FINE.
+SPOT, TRY, FINE = 20, 4, 16
+
+
+def part_grids(rows: DataFrame, nodes: list[Node], parts: dict[int, tuple[np.ndarray, np.ndarray]], grid: Grid) -> dict[int, tuple[Node, np.ndarray]]:
+    """The grid of each part that has one, with the sizes of its labels, from the counts of the cells of all tries and of the distances
+    from the mean over all the part's rows."""
+    names = sorted(parts)
+    shared = rows.sparkSession.sparkContext.broadcast((nodes, names, parts))
+    mid, mask = 1 << (SPOT - 1), (1 << SPOT) - 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, known, frame = shared.value
+        keys, counts, pending = [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+
+        def out(every: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(known)[every >> (2 * SPOT + TRY)]), pa.array(every & ((1 << (2 * SPOT + TRY)) - 1)), pa.array(n)], names=["part", "key", "n"])
+
+        for batch in batches:
+            r = matrix(batch.column(0), grid.dims).astype(float)
+            of = parts_of(r, tree)
+            for p in np.intersect1d(of, known).tolist():
+                centre, axes = frame[p]
+                x = r[of == p] - centre
+                base, along = known.index(p) << TRY, x @ axes.T
+                # the number after the last try's holds the distances
+                spots = [np.c_[np.floor(np.sqrt((x**2).sum(1)) * FINE), np.zeros(len(x))], *(np.floor(along[:, k : k + AXES] / width) for width, k in tries(grid, grid.dims))]
+                for t, spot in enumerate(spots):
+                    cell = np.clip(spot.astype(np.int64) + mid, 0, mask)
+                    key, n = np.unique(((base + t) << SPOT | cell[:, 0]) << SPOT | cell[:, 1], return_counts=True)
+                    keys.append(key)
+                    counts.append(n)
+                    pending += len(key)
+            if pending > 1 << 20:
+                every, n = summed()
+                keys, counts, pending = [every], [n], 0
+                if len(every) > 1 << 19:
+                    yield out(every, n)
+                    keys, counts = [], []
+        if keys:
+            yield out(*summed())
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n, part = pdf.key.to_numpy(), pdf.n.to_numpy(), int(pdf.part.iloc[0])
+        t, cells = key >> (2 * SPOT), np.c_[(key >> SPOT) & mask, key & mask] - mid
+        far, held = cells[t == 0, 0], n[t == 0]
+        order = np.argsort(far)
+        spread = far[order][np.searchsorted(np.cumsum(held[order]), held.sum() / 2)] / FINE
+        centre, axes = shared.value[2][part]
+        axes = np.r_[axes, np.zeros((grid.dims - len(axes), grid.dims))]  # only the first are used
+        found = grid_by(lambda k: (cells[t == 1 + k], n[t == 1 + k]), spread, centre, axes, grid)
+        return pd.DataFrame({"part": [part], "found": [pickle.dumps((found[1], found[3]) if found else None)]})
+
+    counted = rows.select("ranks").mapInArrow(partial, "part bigint, key bigint, n bigint").groupBy("part", "key").agg(F.sum("n").alias("n"))
+    got = counted.groupBy("part").applyInPandas(choose, "part bigint, found binary").collect()
+    return {r.part: found for r in got if (found := pickle.loads(r.found))}
+
+
+def fitted(rows: DataFrame, n: int, grid: Grid) -> list[Node]:
+    """``grids_of`` for all the ``n`` rows of a table (``ranks``). A level of the tree at a time, the directions and cells of the parts with more than
+    ``grid.gathered`` records are counted by Spark; the records of a smaller part, and all its levels, are one task's."""
+    tree, level, small = Tree(grid), {0: n}, []
+    while level:
+        small += [p for p, m in level.items() if grid.least <= m <= grid.gathered]
+        big = {p: m for p, m in level.items() if m > grid.gathered}
+        for p in level.keys() - big.keys() - set(small):
+            tree.put(p, None, level[p])
+        level = {}
+        if not big:
+            break
+        found = part_grids(rows, tree.nodes, frames(rows, tree.nodes, list(big), grid), grid)
+        for p, m in big.items():
+            level |= dict(zip(tree.put(p, found.get(p), m), found[p][1].tolist() if p in found else []))
+    if small:
+        shared = rows.sparkSession.sparkContext.broadcast((tree.nodes, np.array(small)))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes, wanted = shared.value
+            for batch in batches:
+                of = parts_of(matrix(batch.column(0), grid.dims).astype(float), nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(of), batch.column(0)], names=["part", "ranks"]).filter(pa.array(np.isin(of, wanted)))
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": [pdf.part.iloc[0]], "nodes": [pickle.dumps(grids_of(stacked(pdf.ranks, grid.dims), grid))]})
+
+        got = rows.select("ranks").mapInArrow(place, "part bigint, ranks binary").groupBy("part").applyInPandas(fit, "part bigint, nodes binary").collect()
+        for r in sorted(got, key=lambda r: r.part):
+            tree.graft(r.part, pickle.loads(r.nodes))
+    return tree.nodes
+
+
 def distances(r: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Euclidean distances of rank vectors (rows) and centres (columns)."""
     square = (r**2).sum(1)[:, None] - 2 * r @ centres.T + (centres**2).sum(1)
@@ -263,14 +454,6 @@ def bounded(rows: DataFrame, most: int, what: str) -> list:
     return out
 
 
-def sampled(rows: DataFrame, n: int, grid: Grid) -> np.ndarray:
-    """Rank vectors of about ``grid.sample`` of the ``n`` rows, those with the smallest hashes of their ids."""
-    if n > grid.sample:
-        rows = rows.where(F.xxhash64("id") < int((grid.sample / n - 0.5) * 2**64))
-    got = rows.select("id", "ranks").toPandas().sort_values("id")
-    return stacked(got.ranks, grid.dims) if len(got) else np.empty((0, grid.dims))
-
-
 ROW = "id bigint, ranks binary, length double"
 CELL = [f"x{k}" for k in range(AXES)]
 
@@ -393,7 +576,7 @@ def groups(records: DataFrame, grid: Grid = Grid()) -> DataFrame:
     the group's number and smallest id, its size, the distance from its mean, how many records the record's cell holds, and
     whether the record is a member by its ``cell``, as one at the ``border``, or in a group of the ``rest``.
 
-    Rounds over the records that have no group yet. A tree of grids, fitted on a bounded sample, quantises all of them; their
+    Rounds over the records that have no group yet. A tree of grids, fitted on all of them (``fitted``), quantises them; their
     cells are counted, adjacent dense cells have one label, and a record whose cell has a label is in that label's group, if it
     is no further from the label's mean than records of its length are (an exact check). Records near to such a mean are
     not looked at again, and rounds end when one finds fewer than ``grid.least`` members. Labels of one composition are then
@@ -408,7 +591,7 @@ def groups(records: DataFrame, grid: Grid = Grid()) -> DataFrame:
     n_loose = loose.count()
     names, sizes, means, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, grid.dims)), []
     while n_loose >= grid.least:
-        nodes = grids_of(sampled(loose, n_loose, grid), grid)
+        nodes = fitted(loose, n_loose, grid)
         if not nodes:
             break
         placed = cut(on_grids(loose, nodes, grid))
@@ -474,16 +657,15 @@ def alike_rest(loose: DataFrame, means: np.ndarray, scatter: float, grid: Grid)
     none = loose.limit(0).select("id", F.col("part"), "distance", F.lit(0).cast("bigint").alias("held"), F.lit("rest").alias("how"))
     if n == 0:
         return none
-    r = sampled(loose, n, grid)
+    centre, axes = frames(loose, [], [0], grid)[0]
     widest = loose.agg(F.max("usual")).first()[0]
     width = 4.5 * (2 / grid.dims) ** 0.5 * widest
-    node = Node(r.mean(0), np.linalg.svd(r - r.mean(0), full_matrices=False)[2][:AXES], width, np.empty(0, np.int64), np.empty(0, np.int64))
+    node = Node(centre, axes[:AXES].copy(), width, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
     shared = spark.sparkContext.broadcast(node)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = shared.value.cells(matrix(batch.column(1), grid.dims).astype(float))
-            cell = np.c_[cell, np.zeros((len(cell), AXES - cell.shape[1]), np.int64)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cell[:, k]) for k in range(AXES))], names=["id", "ranks", "usual", *CELL])
 
     placed = cut(loose.select("id", "ranks", "usual").mapInArrow(place, "id bigint, ranks binary, usual double, " + ", ".join(f"{x} bigint" for x in CELL)))

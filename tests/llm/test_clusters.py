@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import grid_clusters as gc
+from strandweave.plans.session import cut
 
 
 def records(seed=1, groups=(120, 60, 30, 5), loners=12, dims=136):
@@ -127,3 +128,14 @@ def test_means_of_one_composition_are_joined():
     base = np.arange(136.0)
     means = np.array([base, base + 5, base[::-1], base + 90])
     assert gc.one_composition(np.array([50, 9, 30, 9]), means, 200.0).tolist() == [0, 0, 2, 3]
+
+
+def test_tree_is_fitted_on_every_record(spark):
+    vals, _ = records(seed=11, groups=(900, 500, 300, 200, 100), loners=30)
+    ranks = np.argsort(np.argsort(vals, axis=1, kind="stable"), axis=1, kind="stable")
+    rows = cut(gc.packed(spark.createDataFrame([(i, r.tolist(), 2000) for i, r in enumerate(ranks)], "id bigint, ranks array<int>, length int"), 136))
+    want = gc.walked(ranks.astype(float), gc.grids_of(ranks.astype(float), gc.Grid()))[0]
+    name = lambda leaf: [0 if x < 0 else 1 + int(np.flatnonzero(leaf == x)[0]) for x in leaf]
+    for gathered in (150, 400, 5000):  # by Spark, by both, in one task
+        leaf = gc.walked(ranks.astype(float), gc.fitted(rows, len(ranks), gc.Grid(gathered=gathered)))[0]
+        assert name(leaf) == name(want), gathered
