@@ -415,6 +415,8 @@ def distances(r: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 RANK = np.dtype("<u2")
+#: Ranks leave every second byte empty, which the session's codec may not see.
+CODEC = "zstd"
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -587,39 +589,44 @@ def groups(records: DataFrame, grid: Grid = Grid()) -> DataFrame:
     to no other have no row; an empty table gives none.
     """
     spark = records.sparkSession
-    loose = cut(packed(records, grid.dims))
+    loose = cut(packed(records, grid.dims), CODEC)
     n_loose = loose.count()
     names, sizes, means, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, grid.dims)), []
+    tables: list[DataFrame] = []
     while n_loose >= grid.least:
         nodes = fitted(loose, n_loose, grid)
         if not nodes:
             break
-        placed = cut(on_grids(loose, nodes, grid))
+        placed = cut(on_grids(loose, nodes, grid), CODEC)
+        release(loose)
         marked = labelled(placed, len(near), grid)
         found = bounded(label_means(marked, "label", grid).where("n >= 4"), grid.centres - len(names), "labels")
         if not found:
+            loose = placed.select("id", "ranks", "length")
             break
         names, sizes = np.r_[names, [r.label for r in found]].astype(np.int64), np.r_[sizes, [r.n for r in found]].astype(np.int64)
         means = np.concatenate([means, np.array([np.frombuffer(r["mean"]) for r in found])])
-        seen = cut(measured(marked, names, means, grid))
+        seen = cut(measured(marked, names, means, grid), CODEC)
+        release(placed)
         medians, _ = length_medians(seen, grid)
         judged = typical_of(seen, medians, grid).withColumn("close", F.col("distance") <= grid.near * F.col("typical"))
-        kept = cut(judged.select("id", "ranks", "length", "label", "held", "close"))
-        release(placed, seen)
-        near.append(kept.where("close").select("id", "ranks", "length", "label", "held"))
-        counts = kept.agg(F.count_if("close"), F.count_if(F.col("close") & F.col("label").isNotNull())).first()
-        loose, n_loose = kept.where("NOT close").select("id", "ranks", "length"), n_loose - counts[0]
+        # the members stay where they are, in one copy; only the records still to be looked at are written again
+        near.append(judged.where("close").select("id", "ranks", "length", "label", "held"))
+        tables.append(seen)
+        counts = judged.agg(F.count_if("close"), F.count_if(F.col("close") & F.col("label").isNotNull())).first()
+        loose, n_loose = cut(judged.where("NOT coalesce(close, false)").select("id", "ranks", "length"), CODEC), n_loose - counts[0]
         if counts[1] < grid.least:
             break
     last = loose.select("id", "ranks", "length", F.lit(None).cast("bigint").alias("label"), F.lit(None).cast("bigint").alias("held"))
     if not len(names):
         rest = cut(last.withColumns({"part": F.lit(None).cast("bigint"), "distance": F.lit(None).cast("double"), "typical": F.lit(grid.radius * grid.random), "usual": F.lit(grid.radius * grid.random)}))
         return with_sizes(alike_rest(rest, np.empty((0, grid.dims)), 0.0, grid))
-    return with_sizes(members(reduce(DataFrame.unionByName, [*near, last]), names, sizes, means, grid))
+    return with_sizes(members(reduce(DataFrame.unionByName, [*near, last]), [*tables, loose], names, sizes, means, grid))
 
 
-def members(rows: DataFrame, names: np.ndarray, sizes: np.ndarray, means: np.ndarray, grid: Grid) -> DataFrame:
-    """``id, part, distance, held, how`` for rows with the ``label`` of their cell, or none."""
+def members(rows: DataFrame, tables: list[DataFrame], names: np.ndarray, sizes: np.ndarray, means: np.ndarray, grid: Grid) -> DataFrame:
+    """``id, part, distance, held, how`` for rows with the ``label`` of their cell, or none. The ``tables`` behind the rows are deleted
+    when they have been read."""
     spark = rows.sparkSession
     scatter = cut(measured(rows.where("label IS NOT NULL"), names, means, grid).select("length", "distance"))
     scatter_ = scatter.agg(F.percentile_approx("distance", 0.5, 1000)).first()[0] or 0.0
@@ -632,16 +639,36 @@ def members(rows: DataFrame, names: np.ndarray, sizes: np.ndarray, means: np.nda
     joined /= weight
     as_part = spark.createDataFrame([(int(a), int(p)) for a, p in zip(names, part)], "label bigint, number bigint").coalesce(1)
     numbered = rows.join(F.broadcast(as_part), "label", "left").withColumn("label", F.col("number"))
-    seen = cut(measured(numbered, np.arange(len(heads)), joined, grid))
+    seen = cut(measured(numbered, np.arange(len(heads)), joined, grid), CODEC)
+    release(*(t for t in tables if hasattr(t, "_cut_path")))
     medians, _ = length_medians(seen.where("label IS NOT NULL"), grid)
     known = typical_of(seen, medians, grid)
     wide = cut(known.where("label IS NOT NULL").groupBy("part").agg(F.greatest(F.lit(1.0), F.percentile_approx(F.col("distance") / F.col("typical"), 0.5, 1000)).alias("wide"), F.count(F.lit(1)).alias("n")))
     wide = broadcast_checked(wide.select("part", F.when(F.col("n") >= 3, F.col("wide")).alias("wide")), grid.centres)
     known = known.join(wide, "part", "left").withColumn("usual", F.col("typical")).withColumn("typical", F.col("typical") * F.coalesce("wide", F.lit(1.0)))
     how = F.when(F.col("label").isNotNull(), "cell").when(F.col("distance") <= grid.near * F.col("typical"), "border")
-    judged = cut(known.select("id", "ranks", "label", "held", "part", "distance", "typical", "usual", how.alias("how")))
-    inside = judged.where("how IS NOT NULL").select("id", "part", "distance", "held", "how")
-    return inside.unionByName(alike_rest(judged.where("how IS NULL"), joined, scatter_, grid))
+    judged = known.select("id", "ranks", "label", "held", "part", "distance", "typical", "usual", how.alias("how"))
+    inside = cut(judged.where("how IS NOT NULL").select("id", "part", "distance", "held", "how"))
+    rest = cut(judged.where("how IS NULL"), CODEC)
+    release(seen)
+    return inside.unionByName(alike_rest(rest, joined, scatter_, grid))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that join the same nodes as the pairs of ``a`` and ``b``: each node, but for one of a component, with the component's smallest."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    more = label != np.arange(len(nodes))
+    return np.c_[nodes[label[more]], nodes[more]]
 
 
 def alike_rest(loose: DataFrame, means: np.ndarray, scatter: float, grid: Grid) -> DataFrame:
@@ -690,7 +717,7 @@ def alike_rest(loose: DataFrame, means: np.ndarray, scatter: float, grid: Grid)
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         far = distances(stacked(a.ranks, grid.dims), stacked(b.ranks, grid.dims))
         i, j = np.nonzero((far <= grid.alike * np.hypot(a.usual.to_numpy()[:, None], b.usual.to_numpy())) & (a.id.to_numpy()[:, None] != b.id.to_numpy()))
-        return pd.DataFrame({"a": a.id.to_numpy()[i], "b": b.id.to_numpy()[j]})
+        return pd.DataFrame(spanning(a.id.to_numpy()[i], b.id.to_numpy()[j]), columns=["a", "b"])
 
     linked = sides.groupBy("meeting").applyInPandas(link, "a bigint, b bigint")
     edges = cut(linked.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())

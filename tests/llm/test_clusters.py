@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import grid_clusters as gc
+from strandweave.plans import session
 from strandweave.plans.session import cut
 
 
@@ -139,3 +140,19 @@ def test_tree_is_fitted_on_every_record(spark):
     for gathered in (150, 400, 5000):  # by Spark, by both, in one task
         leaf = gc.walked(ranks.astype(float), gc.fitted(rows, len(ranks), gc.Grid(gathered=gathered)))[0]
         assert name(leaf) == name(want), gathered
+
+
+def test_links_span_their_components():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 60, (2, 40))
+    a, b = np.r_[a, np.repeat(range(100, 110), 10)], np.r_[b, np.tile(range(100, 110), 10)]
+    got = gc.spanning(a, b)
+    assert components(110, got) == components(110, np.c_[a, b]) and len(got) < 60
+
+
+def test_few_copies_of_the_records_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    vals, _ = records(seed=6, groups=(600, 400), loners=5)
+    ranks = np.argsort(np.argsort(vals, axis=1, kind="stable"), axis=1, kind="stable")
+    gc.groups(spark.createDataFrame([(i, r.tolist(), 2000) for i, r in enumerate(ranks)], "id bigint, ranks array<int>, length int")).count()
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < ranks.size * gc.RANK.itemsize
